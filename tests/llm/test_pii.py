@@ -1,0 +1,50 @@
+import hashlib
+import re
+
+from conftest_llm import rows
+
+from quantloom.llm import contracts, pii
+
+
+def brute(text):
+    """The base rules with plain patterns."""
+    text = text or ""
+    out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), m.end(), 2))
+    out += [(m.start(), m.end(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_match_plain_patterns(real, odd):
+    for r in [*real.collect(), *odd.collect()]:
+        assert sorted(pii.base_spans(r.text or "")) == brute(r.text)
+    for text in ("a@b.c@d.e.f", "a@@b.c", "@b.c", "x@y.", "1.2.3.4.5.6.7.8", "0000.1.1.255", "+1))))", "1-1-1 1", "a" * 300 + "@b.co", "..@a.b..c"):
+        assert sorted(pii.base_spans(text)) == brute(text), text
+
+
+def test_query(spark, sf, real):
+    got = {r.doc_id: r for r in contracts.op3_pii(spark, sf).collect()}
+    names = ("email", "ip", "card", "phone")
+    for r in real.collect():
+        want = brute(r.text)
+        g = got[r.doc_id]
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(k == i for *_, k in want) for i in range(4)]
+        listed = ",".join(f"{names[k]}:{a}:{b}" for a, b, k in want)
+        assert g.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) - {""} <= set(g.spans.split(","))
+    assert sum(r.n_email for r in got.values()) > 0
+
+
+def test_added_kinds_and_masking(odd, empty, clash):
+    spans = {r.doc_id: r.spans for r in pii.detect(odd).collect()}
+    assert {s.kind for s in spans[8]} == {"email", "iban", "aba"}
+    assert spans[1] == [] and spans[2] == []
+    masked = {r.doc_id: r for r in pii.redact(clash).collect()}
+    assert "[PHONE]" in masked[0].text and "[EMAIL]" in masked[0].text and masked[1].text is None and masked[8].text.startswith("[IBAN] is")
+    assert masked[0].n_chars == len(masked[0].text) and masked[0].spans == "x"
+    assert pii.report(empty).count() == 0 and rows(pii.report(clash)) == rows(pii.report(odd))
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433") and pii.luhn("4111111111111111")
