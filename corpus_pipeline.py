@@ -6,22 +6,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import decontaminate, packing, pii
+from quantloom.llm import contracts, decontaminate, ngram_join, packing, pii, toxicity
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of one half or more go; the model is fitted on the training labels."""
+    model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), contracts.training_labels(spark, sf_dir))
+    return toxicity.accepted(docs, model)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates (five words, similarity 0.8) the smallest doc_id stays."""
+    return ngram_join.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words at least are passages of the benchmark go."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("decontamination", decontaminated), ("pii", private), ("packing", packed)]
+STAGES = [("toxicity", civil), ("ngram_join", distinct), ("decontamination", decontaminated), ("pii", private), ("packing", packed)]
 
 #: Classifier, tokeniser and digests are beyond SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
