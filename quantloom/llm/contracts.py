@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, ngram_join, packing, pii, runindex, sharding, substrings, toxicity, warc
 from ._text import shared_dir
+from .contracts_params import SHARD_BYTES
 from .oracles import ORACLE  # noqa: F401
 
 
@@ -27,16 +28,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(_read(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
+    return ngram_join.classes(_read(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(_read(spark, sf_dir, "documents"), limit=16 << 20)
+    return sharding.assign(_read(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(_read(spark, sf_dir, "pages"), shared_dir(spark, "archives"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "intact")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_date", "intact")
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = decontaminate.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
