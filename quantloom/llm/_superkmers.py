@@ -21,10 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import checkpointed, chunks, mix, partitions, prefix_sums, range_hash, runs, sliding_min, windows
+from ._text import checkpointed, chunks, mix, partitions, prefix_sums, range_hash, runs, sliding_min, spread, windows
 
-#: Bytes of strings that a task gathers before it sends them, and about as many a bucket gets.
-FLUSH, BUCKET = 32 << 20, 8 << 20
+#: Bytes of strings that a task gathers before it sends them, and about as many a bucket gets; a bucket is
+#: worked through in parts by minimiser, which bounds the memory.
+FLUSH, BUCKET, PARTS = 32 << 20, 16 << 20, 8
 #: Frequent minimisers that are listed at most (8 bytes each are broadcast).
 HOT = 1 << 16
 _TOP = np.uint64(1 << 63)
@@ -70,34 +71,44 @@ class Blob(NamedTuple):
     owner: np.ndarray  # string of each occurrence
     key: np.ndarray
     start: np.ndarray
+    part: np.ndarray  # part of the bucket of each string
 
+    def only(self, part: int) -> Blob:
+        """The strings of one part."""
+        sel = self.part == part
+        place = np.cumsum(sel) - 1
+        size = np.diff(self.off)[sel]
+        occ = sel[self.owner]
+        return Blob(self.data[spread(self.off[:-1][sel], size)], np.concatenate(([0], np.cumsum(size))), place[self.owner[occ]], self.key[occ], self.start[occ], self.part[sel])
 
-def _pack(strings: list[bytes], owner: np.ndarray, key: np.ndarray, start: np.ndarray) -> bytes:
+
+def _pack(strings: list[bytes], part: np.ndarray, owner: np.ndarray, key: np.ndarray, start: np.ndarray) -> bytes:
     head = np.array([len(strings), len(owner)], np.int64)
     sizes = np.array([len(s) for s in strings], np.int32)
     step = np.diff(key, prepend=0)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), sizes.tobytes(), owner.astype(np.int32).tobytes(), step.tobytes(), start.astype(np.int64).tobytes(), *strings]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), sizes.tobytes(), part.astype(np.int8).tobytes(), owner.astype(np.int32).tobytes(), step.tobytes(), start.astype(np.int64).tobytes(), *strings]))
 
 
 def unpack(blobs: Iterator[bytes]) -> Blob:
     """All strings of some blobs; equal strings of different blobs are not yet combined."""
-    data, sizes, owner, key, start, n = [], [], [], [], [], 0
+    data, sizes, part, owner, key, start, n = [], [], [], [], [], [], 0
     for blob in blobs:
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
         strings, occ = (int(x) for x in raw[:16].view(np.int64))
         at = 16
         parts = []
-        for count, kind in ((strings, np.int32), (occ, np.int32), (occ, np.int64), (occ, np.int64)):
+        for count, kind in ((strings, np.int32), (strings, np.int8), (occ, np.int32), (occ, np.int64), (occ, np.int64)):
             to = at + count * np.dtype(kind).itemsize
             parts.append(np.frombuffer(raw[at:to].tobytes(), kind))
             at = to
         sizes.append(parts[0].astype(np.int64))
-        owner.append(parts[1].astype(np.int64) + n)
-        key.append(np.cumsum(parts[2]))
-        start.append(parts[3])
+        part.append(parts[1])
+        owner.append(parts[2].astype(np.int64) + n)
+        key.append(np.cumsum(parts[3]))
+        start.append(parts[4])
         data.append(raw[at:])
         n += strings
-    return Blob(np.concatenate(data), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), *(np.concatenate(x) for x in (owner, key, start)))
+    return Blob(np.concatenate(data), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), *(np.concatenate(x) for x in (owner, key, start, part)))
 
 
 def combine(blob: Blob, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +175,8 @@ def dealt(docs: DataFrame, items: Items, k: int, m: int, hot: np.ndarray, bucket
             one, two = range_hash(sums, r.start, last), range_hash(other, r.start, last, 1)
             a, b = (r.start, last) if begin is None else (begin[r.start], end[last - 1])
             keys = part.column(0).to_numpy(zero_copy_only=False)[r.text]
-            bucket = (mix(r.key, 2) % np.uint64(buckets)).astype(np.int64)
-            held.append((bucket, one, two, keys, r.start - first[r.text], np.arange(len(a)) + len(strings)))
+            place = mix(r.key, 2) % np.uint64(buckets * PARTS)
+            held.append((place.astype(np.int64), one, two, keys, r.start - first[r.text], np.arange(len(a)) + len(strings)))
             raw = data.tobytes()
             strings += [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             size += int((b - a).sum())
@@ -176,18 +187,19 @@ def dealt(docs: DataFrame, items: Items, k: int, m: int, hot: np.ndarray, bucket
             yield flush(held, strings)
 
     def flush(held: list[tuple], strings: list[bytes]) -> pa.RecordBatch:
-        bucket, one, two, key, start, index = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, key, two, one, bucket))
-        bucket, one, two, key, start, index = (x[order] for x in (bucket, one, two, key, start, index))
+        place, one, two, key, start, index = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, key, two, one, place))
+        place, one, two, key, start, index = (x[order] for x in (place, one, two, key, start, index))
         new = np.ones(len(order), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (bucket[1:] != bucket[:-1])
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (place[1:] != place[:-1])
         kind = np.cumsum(new) - 1
-        index = index[new]
+        index, bucket, part = index[new], place // PARTS, (place % PARTS)[new]
         edge = np.flatnonzero(np.diff(bucket, prepend=-1))
         out = []
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True):
             own = kind[a:b]
-            out.append(_pack([strings[i] for i in index[own[0] : own[-1] + 1].tolist()], own - own[0], key[a:b], start[a:b]))
+            lo, hi = own[0], own[-1] + 1
+            out.append(_pack([strings[i] for i in index[lo:hi].tolist()], part[lo:hi], own - lo, key[a:b], start[a:b]))
         return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     return docs.mapInArrow(run, "bucket int, blob binary")

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once; bounds the working memory of a Python worker.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -71,6 +72,36 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """The table with a text column compressed, to travel: ``packed`` and its length ``raw`` in its place."""
+    at = df.columns.index(column)
+    rest = [c for c in df.columns if c != column]
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != column) + ", packed binary, raw long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for part, data, off in chunks(batches, column):
+            blobs = pa.array([packer.compress(data[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if i != at), blobs, pa.array(np.diff(off))], [*rest, "packed", "raw"])
+
+    return df.mapInArrow(run, schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices like those of ``chunks`` of a table that ``packed`` made."""
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.concatenate(([0], np.cumsum(batch.column(batch.schema.get_field_index("raw")).to_numpy())))
+        blobs, at = batch.column(batch.schema.get_field_index("packed")), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+            data = np.frombuffer(b"".join([unpacker.decompress(x.as_py()) for x in blobs.slice(at, to - at)]), np.uint8)
+            yield batch.slice(at, to - at), data, ends[at : to + 1] - ends[at]
+            at = to
+
+
 def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd constant and of its inverse modulo 2^64, at least ``n`` of them."""
     have = _powers.get(base)

@@ -18,11 +18,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from ._superkmers import Blob, combine, numbered, ranked, spans_of
-from ._text import chunks, mix, prefix_sums, range_hash, runs, spread
+from ._text import mix, prefix_sums, range_hash, runs, spread, unpacked
 from .substrings import covered_spans, flags_of, with_spans
 
 #: Bytes of a minimiser.
-M_BYTES = 24
+M_BYTES = 16
 #: Symbols that the first sorting key holds.
 _PACK = 7
 
@@ -188,7 +188,7 @@ def drop_repeated_bytes(docs: DataFrame, k: int = 100, m: int = M_BYTES) -> Data
     spans = covered_spans(docs, byte_items, lambda blob, hot: repeated_bytes(blob, hot, k, m), k, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in chunks(batches):
+        for part, data, off in unpacked(batches):
             gone = flags_of(part, off)
             kept = [data[x:y][~gone[x:y]].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
             pieces = [len(runs(gone[x:y])[0]) if gone[x:y].any() else 0 for x, y in zip(off[:-1], off[1:], strict=True)]

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._superkmers import Blob, Items, bucket_count, combine, dealt, hot_minimisers, numbered, spans_of, unpack
-from ._text import SPACED, Words, chunks, covered, partitions, prefix_sums, range_hash
+from ._text import SPACED, Words, covered, packed, partitions, prefix_sums, range_hash, unpacked
 
-#: Items of a minimiser of words; long enough to be shared by repeated passages only, mostly.
-M_WORDS = 10
+#: Words of a minimiser; few, so that runs of windows are long and less is sent twice.
+M_WORDS = 5
 
 
 def word_items(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +72,9 @@ def covered_spans(docs: DataFrame, items: Items, repeated: Callable[[Blob, np.nd
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def count(table: pa.Table) -> pa.Table:
-        key, start, end = repeated(unpack(x.as_py() for x in table.column("blob")), shared.value)
+        whole = unpack(x.as_py() for x in table.column("blob"))
+        found = [repeated(whole.only(p), shared.value) for p in np.unique(whole.part)]
+        key, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((start, key))
         key, start, end = key[order], start[order], end[order]
         if len(key):  # touching spans of one text become one
@@ -88,14 +90,15 @@ def covered_spans(docs: DataFrame, items: Items, repeated: Callable[[Blob, np.nd
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, spans' starts, spans' ends)."""
-    return docs.join(spans, "key", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    """(doc_id, compressed text, spans' starts, spans' ends); texts travel compressed."""
+    texts = packed(docs.select("key", "doc_id", "text"))
+    return texts.join(spans, "key", "left").select("doc_id", "packed", "raw", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
 def flags_of(part: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
     """Which items of the texts of a slice of ``with_spans`` lie in a span."""
-    starts, ends = part.column(2), part.column(3)
-    n = np.array([0 if x is None else x for x in pa.compute.list_value_length(starts).to_pylist()], np.int64)
+    starts, ends = part.column(3), part.column(4)
+    n = pa.compute.fill_null(pa.compute.list_value_length(starts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     base = np.repeat(first[:-1], n)
     return covered(base + starts.flatten().to_numpy(), base + ends.flatten().to_numpy(), int(first[-1]))
 
@@ -112,7 +115,7 @@ def drop_repeated_words(docs: DataFrame, k: int = 50, m: int = M_WORDS) -> DataF
     spans = covered_spans(docs, word_items, lambda blob, _: repeated_windows(blob, k), k, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in chunks(batches):
+        for part, data, off in unpacked(batches):
             w = Words(data, off, SPACED, hashes=False)
             gone = flags_of(part, w.first)
             raw = data.tobytes()
