@@ -24,9 +24,11 @@ FIT_ROWS = 20_000
 #: Words and prefixes that a model keeps at most, the most certain ones; with 12 bytes each it is broadcast.
 MODEL_WORDS = 1 << 17
 #: Bytes of the prefixes that words lean on.
-PREFIXES = (5, 4)
+PREFIXES = (9, 8, 7, 6, 5, 4)
 #: Least z-score of a word that counts as toxic, and the weight of its prior in words.
 LEAST_Z, PRIOR_WORDS = 3.0, 2.0
+#: Occurrences of a word that count in one text at most, in fitting and scoring, so that no text of repeats rules.
+PER_TEXT = 3
 
 
 class Model(NamedTuple):
@@ -59,6 +61,15 @@ def _weights(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[Words, np
         if len(model.key):
             at = np.minimum(np.searchsorted(model.key, h), len(model.key) - 1)
             out = np.where((model.key[at] == h) & (h != 0), model.weight[at], out)
+    # Repeats of one word say no more than a few of it.
+    hit = np.flatnonzero(out > 0)
+    text = np.searchsorted(w.first, hit, "right")
+    order = np.lexsort((hit, w.hash[hit], text))
+    new = np.ones(len(hit), bool)
+    new[1:] = (w.hash[hit][order[1:]] != w.hash[hit][order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+    at = np.arange(len(hit))
+    again = at - at[new][np.cumsum(new) - 1] if len(hit) else at
+    out[hit[order[again >= PER_TEXT]]] = min(model.default, 0.0)
     return w, out
 
 
@@ -139,14 +150,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         for part, data, off in chunks(batches, limit=8 << 20):
             label = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             w, hashes = features(data, off)
-            toxic = np.repeat(label, w.count)
+            text = np.repeat(np.arange(len(label)), w.count)
             h = np.concatenate(hashes)
             kind = np.repeat(np.arange(len(hashes), dtype=np.int8), len(w.start))
-            t = np.tile(toxic, len(hashes))
-            h, kind, t = h[h != 0], kind[h != 0], t[h != 0]
+            text = np.tile(text, len(hashes))[h != 0]
+            kind, h = kind[h != 0], h[h != 0]
+            order = np.lexsort((h, text))
+            h, text, kind = h[order], text[order], kind[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            times = np.minimum(np.diff(np.append(np.flatnonzero(new), len(h))), PER_TEXT)
+            h, text, kind = h[new], text[new], kind[new]
             u, one, inv = np.unique(h, return_index=True, return_inverse=True)
-            y = np.bincount(inv, weights=t, minlength=len(u)).astype(np.int64)
-            n = np.bincount(inv, minlength=len(u)).astype(np.int64)
+            y = np.bincount(inv, weights=times * label[text], minlength=len(u)).astype(np.int64)
+            n = np.bincount(inv, weights=times, minlength=len(u)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(kind[one]), pa.array(y), pa.array(n - y)], ["h", "kind", "y", "n"])
 
     counts = train.mapInArrow(count, "h long, kind byte, y long, n long").groupBy("h").agg(F.max("kind").alias("kind"), F.sum("y").alias("y"), F.sum("n").alias("n"))
@@ -167,17 +184,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     # Words that were seen often without a lean to toxic texts keep the default, whatever their prefix.
     plain = scored.where((F.col("kind") == 0) & (both >= 8) & (F.col("z") < LEAST_Z)).orderBy(F.desc(both), "h").limit(MODEL_WORDS).select("h").collect()
     key = np.array([r.h for r in top] + [r.h for r in plain], np.int64).view(np.uint64)
-    # Within a toxic text insults are a small part of the words: the drift of the others.
-    hit = sum(r.y for r in top if r.kind == 0) / ty if top else 0.0
-    default = float(np.log1p(-min(0.2, max(0.02, 4 * hit))))
-    weight = np.array([r.w for r in top] + [default] * len(plain))
+    weight = np.array([r.w for r in top] + [0.0] * len(plain))
     order = np.argsort(key)
-    key, weight = key[order], weight[order]
-    pos = np.array([r.w for r in top if r.kind == 0] or [1.0])
-    seen = np.array([r.n + 0.5 for r in top if r.kind == 0] or [0.5]) / tn
-    values, share = np.append(pos, default), np.append(seen, max(1e-9, 1 - seen.sum()))
+    draft = spark.sparkContext.broadcast(Model(key[order], weight[order], 0.0, 1.0, 1.0, 0.0, 1.0))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in chunks(batches):
+            label = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            w, scores = _weights(draft.value, data, off)
+            own = np.repeat(label, w.count)
+            cell = np.clip(np.round(scores * 4), 0, 63).astype(np.int64) * 2 + own
+            n = np.bincount(cell, minlength=128)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(128)), pa.array(n)], ["cell", "n"])
+
+    # How often words of each score occur in toxic and clean texts: the drift of all other words, and lambda.
+    seen = np.zeros(128)
+    for r in train.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        seen[r.cell] = r.n
+    toxic, clean = seen[1::2], seen[::2]
+    hit = toxic[1:].sum() / max(toxic.sum(), 1)
+    default = float(np.log1p(-min(0.2, max(0.002, hit))))
+    weight = np.array([r.w for r in top] + [default] * len(plain))
+    values = np.append(default, np.arange(1, 64) / 4)
+    share = (clean + np.append(0, np.full(63, 0.1 / 63))) / (clean.sum() + 0.1)
     rate = _lambda(values, share)
-    model = Model(key, weight, default, rate, 0.1, 0.0, 1.0)
+    model = Model(key[order], weight[order], default, rate, 0.1, 0.0, 1.0)
     shared = spark.sparkContext.broadcast(model)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
