@@ -15,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._text import ALNUM, LOWER, Words, chunks, covered, flat, keep, spread
 
 #: Bytes of test items that are searched at once; more are taken in blocks of this size.
 BLOCK = 32 << 20
+#: Characters of test items that one call takes; they are broadcast.  Larger test sets are judged part by part.
+MOST = 64 << 20
 SHARD = 4 << 20
 
 
@@ -163,7 +166,10 @@ class Matches:
 
 
 def _blocks(benchmark: DataFrame, k: int) -> list[Tests]:
-    """The test items, in blocks of bounded size.  The query set is read as a stream, block by block."""
+    """The test items, in blocks of bounded size, after a check of their whole size."""
+    whole = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    if whole > MOST:
+        raise ValueError(f"{whole} characters of test items; one call takes {MOST}: split the items and judge each part")
     blocks, ids, texts, size = [], [], [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         ids.append(row[0])
