@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._superkmers import numbered
-from ._text import LOWER, SPACED, Words, chunks, flat, mix, partitions, prefix_sums, range_hash, shared_dir, windows
+from ._text import LOWER, SPACED, Words, chunks, flat, mix, packed, partitions, prefix_sums, range_hash, shared_dir, spread, windows
 
 #: Frequent shingles that are listed at most (16 bytes each are broadcast); the order of the others is by hash.
 HOT = 1 << 17
@@ -79,8 +79,8 @@ def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
             text, h, size = shingles(data, off, rule.n)
             one, two = (_sum_by(mix(h, s), size) for s in (31, 32))
             cells = np.bincount(text * CELLS + (h % np.uint64(CELLS)).astype(np.int64), minlength=len(size) * CELLS).reshape(-1, CELLS)
-            packed = [x.tobytes() for x in np.minimum(cells, 65535).astype("<u2")]
-            yield batch(np.zeros(len(size), np.int8), part.column(0), part.column(1), size, one.view(np.int64), two.view(np.int64), packed)
+            counted = [x.tobytes() for x in np.minimum(cells, 65535).astype("<u2")]
+            yield batch(np.zeros(len(size), np.int8), part.column(0), part.column(1), size, one.view(np.int64), two.view(np.int64), counted)
             u, n = np.unique(h, return_counts=True)
             seen, inv = np.unique(np.concatenate((seen, u)), return_inverse=True)
             times = np.bincount(inv, np.concatenate((times, n)), len(seen)).astype(np.int64)
@@ -203,21 +203,36 @@ def _crossing(members: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
 
     def run(table: pa.Table) -> pa.Table:
-        n, key, pos, label = (table.column(c).to_numpy() for c in ("n", "key", "pos", "label"))
-        kinds, which, count = np.unique(label, return_inverse=True, return_counts=True)
-        rest = np.flatnonzero(which != np.argmax(count))  # the largest class is met from the others
-        order = np.argsort(n, kind="stable")
-        sizes, out = n[order], []
-        for i in rest.tolist():
-            lo = np.searchsorted(sizes, -(-rule.percent * n[i] // 100))
-            hi = np.searchsorted(sizes, 100 * n[i] // rule.percent, "right")
-            at = order[lo:hi]
-            at = at[(label[at] != label[i]) & rule.may(n[at], pos[at], n[i], pos[i])]
-            out.append(np.stack([np.minimum(key[at], key[i]), np.maximum(key[at], key[i])]))
-        a, b = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
+        """Many shingles at once.  Documents outside the largest class of their shingle meet all of its documents,
+        in blocks of bounded size."""
+        h, n, key, pos, label = (table.column(c).to_numpy() for c in ("h", "n", "key", "pos", "label"))
+        order = np.lexsort((label, h))
+        h, n, key, pos, label = (x[order] for x in (h, n, key, pos, label))
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        part = new.copy()
+        part[1:] |= label[1:] != label[:-1]
+        first, at = np.flatnonzero(new), np.flatnonzero(part)
+        size, group = np.diff(np.append(first, len(h))), np.cumsum(new) - 1
+        many = np.diff(np.append(at, len(h)))
+        top = np.maximum.reduceat(many, np.searchsorted(at, first))
+        largest = many == top[group[at]]
+        largest[1:] &= ~((group[at][1:] == group[at][:-1]) & (np.cumsum(largest)[:-1] > (np.cumsum(largest) - largest)[np.searchsorted(group[at], group[at][1:])]))
+        rest = np.flatnonzero(~np.repeat(largest, many))
+        out = [np.zeros((2, 0), np.int64)]
+        step = np.cumsum(size[group[rest]])
+        cuts = np.unique(np.searchsorted(step, np.arange(0, int(step[-1]) if len(step) else 0, 1 << 20))) if len(rest) else []
+        for x, y in zip(cuts, [*cuts[1:], len(rest)], strict=True):
+            i = rest[x:y]
+            one, other = np.repeat(i, size[group[i]]), spread(first[group[i]], size[group[i]])
+            ok = (label[one] != label[other]) & rule.may(n[one], pos[one], n[other], pos[other])
+            one, other = key[one[ok]], key[other[ok]]
+            out.append(np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)]), axis=1))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.table({"a": a, "b": b})
 
-    return named.join(mixed, "h").groupBy("h").applyInArrow(run, "a long, b long").distinct()
+    bucket = F.pmod(F.xxhash64("h"), F.lit(4 * partitions(members.sparkSession)))
+    return named.join(mixed, "h").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -240,9 +255,9 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rul
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                packed = dict(zip(a.tolist(), batch.column(2), strict=True)) | dict(zip(b.tolist(), batch.column(3), strict=True))
-                keys = np.array(sorted(packed), np.int64)
-                data, off = flat(pa.array([unpacker.decompress(packed[k].as_py()) for k in keys.tolist()], pa.large_binary()))
+                blobs = dict(zip(a.tolist(), batch.column(2), strict=True)) | dict(zip(b.tolist(), batch.column(3), strict=True))
+                keys = np.array(sorted(blobs), np.int64)
+                data, off = flat(pa.array([unpacker.decompress(blobs[k].as_py()) for k in keys.tolist()], pa.large_binary()))
                 text, h, size = shingles(data, off, rule.n)
                 i, j = np.searchsorted(keys, a), np.searchsorted(keys, b)
                 first = np.cumsum(size) - size
@@ -255,17 +270,6 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rul
     return left.join(own("a"), "a").join(own("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(verify, "u long, v long")
 
 
-def _packed(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, packed) compressed texts of some documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
-        for part, data, off in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packer.compress(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["key", "packed"])
-
-    return docs.select("key", "text").join(keys, "key", "left_semi").mapInArrow(run, "key long, packed binary").dropDuplicates(["key"])
-
-
 def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (0 for
     none, else the number of verified or equal partners that the join needed).
@@ -311,7 +315,7 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     buckets = int(max(4 * partitions(spark), total * (100 - percent) // 100 // 250_000))
     _shared(_entries(docs, rule, hot, times, buckets)).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
-    _packed(docs, members.select("key").distinct()).write.option("compression", "none").parquet(f"{folder}/texts")
+    packed(docs.select("key", "text")).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "packed").write.option("compression", "none").parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
 
     sets = profiles.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("v"))
