@@ -356,7 +356,7 @@ def bar_backtest(panel: DataFrame, cfg: BacktestConfig, actions: DataFrame | Non
     names = [c.split()[0] for c in _LOG.split(", ")]
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        parts = [x.assign(kind=k) for k, x in simulate(p, cfg, shared)]
+        parts = [x.assign(kind=k) for k, x in simulate(p, cfg, shared) if len(x)]
         out = pd.concat(parts, ignore_index=True).assign(strategy=p[strategy].iloc[0]).reindex(columns=names)
         out["id"] = out["id"].astype("Int64")
         return out

@@ -16,10 +16,12 @@ from ..operators import models as mo
 from ..operators import portfolio as pf
 from ..operators import signals as sg
 from ..operators import telemetry as tm
+from ..sources.generators import GenSpec
 from ..sources.loader import select_rows
 from ..sources.schema import key_violations
 from ..streaming import events as ev
 from .adapters import Tables, cents
+from .pipeline import StrategySpec, run_production_pipeline, summary_frame, walk_forward_backtest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -685,6 +687,28 @@ def held_out_scores(t: Tables) -> DataFrame:
     return rounded(p.groupBy("date").agg(mo.held_out_r2().alias("r2")).join(ic, "date"), 6)
 
 
+def _shared(t: Tables, name: str) -> str:
+    """A new folder below the one that driver and executors share."""
+    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def walk_forward_backtest_nav(t: Tables) -> DataFrame:
+    p = t.nation_panel()
+    panel = p.where("fwd is not null").select("date", "id", F.col("return").alias("x1"), F.log("close").alias("x2"), F.col("fwd").alias("y"), F.lit(1.0).alias("weight"))
+    wf = mo.walk_forward_ridge(panel, mo.WalkForwardSplitter(3, 1, 24), mo.WalkForwardConfig((10.0,)), ["x1", "x2"])
+    scaled = p.select("date", "id", (F.col("return") / 50).alias("return"))
+    return rounded(walk_forward_backtest(scaled, wf, bt.BacktestConfig(rebalance_every=3, max_weight=0.3)), 4)
+
+
+@query
+def production_pipeline(t: Tables) -> DataFrame:
+    """The whole chain on generated data of a small size; the driver's tables are not read."""
+    spec = StrategySpec(GenSpec(16, 90, 4, 3, seed=1), wf_splits=2, n_optimized=16)
+    return rounded(summary_frame(t.spark, run_production_pipeline(t.spark, _shared(t, "research"), spec)), 6)
+
+
 # --- telemetry and streams -------------------------------------------------------------------------
 
 def _telemetry(t: Tables) -> DataFrame:
@@ -717,6 +741,5 @@ def events_sessions(t: Tables) -> DataFrame:
 @query
 def events_stream_tumbling(t: Tables) -> DataFrame:
     """The tumbling aggregate by a stream over the same file, drained once."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    out = ev.drain(ev.tumbling(ev.event_stream(t.spark, t.folder)), f"{base}/stream-{uuid.uuid4().hex}")
+    out = ev.drain(ev.tumbling(ev.event_stream(t.spark, t.folder)), _shared(t, "stream"))
     return rounded(out.withColumn("window_start", F.col("window_start").cast("date")), 4)
