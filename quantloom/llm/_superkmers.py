@@ -25,7 +25,7 @@ from ._text import checkpointed, chunks, mix, partitions, prefix_sums, range_has
 
 #: Bytes of strings that a task gathers before it sends them, and about as many a bucket gets; a bucket is
 #: worked through in parts by minimiser, which bounds the memory.
-FLUSH, BUCKET, PARTS = 32 << 20, 16 << 20, 8
+FLUSH, BUCKET, PARTS = 32 << 20, 16 << 20, 16
 #: Frequent minimisers that are listed at most (8 bytes each are broadcast).
 HOT = 1 << 16
 _TOP = np.uint64(1 << 63)
@@ -42,7 +42,7 @@ class Runs(NamedTuple):
 
 def ranked(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Order of minimisers: frequent ones after all others."""
-    low = hashes & ~_TOP
+    low = hashes >> np.uint64(1)
     if not len(hot):
         return low
     at = np.minimum(np.searchsorted(hot, low), len(hot) - 1)
@@ -56,7 +56,7 @@ def find_runs(sums: np.ndarray, first: np.ndarray, k: int, m: int, hot: np.ndarr
         none = np.zeros(0, np.int64)
         return Runs(none, none, none.astype(np.uint64), none)
     at = np.arange(len(sums) - m)
-    least = sliding_min(ranked(mix(range_hash(sums, at, at + m), 1), hot), k - m + 1)[win]
+    least = sliding_min(ranked(range_hash(sums, at, at + m), hot), k - m + 1)[win]
     new = np.ones(len(win), bool)
     new[1:] = (least[1:] != least[:-1]) | (win[1:] != win[:-1] + 1)
     at = np.flatnonzero(new)
@@ -127,18 +127,27 @@ Items = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def hot_minimisers(docs: DataFrame, items: Items, k: int, m: int, buckets: int) -> np.ndarray:
-    """Minimisers with more than a quarter of a mean bucket, from counts over all texts.  A task reports
-    those with half that share of its own, a bounded number."""
+    """Minimisers with more than a quarter of a mean bucket, from counts over all texts.
+
+    What can be a minimiser at all is among the least hashes: with 8 in ``k - m + 1`` of them a window has none
+    once in three thousand.  Only these pieces are counted.  A task reports those with half the share of its
+    own, a bounded number.
+    """
     none = np.zeros(0, np.uint64)
+    low = np.uint64(int(min(1.0, 8 / (k - m + 1)) * ((1 << 63) - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, total = none, np.zeros(0, np.int64), 0
         for _, data, off in chunks(batches):
             hashes, first, _, _ = items(data, off)
-            r = find_runs(prefix_sums(hashes), first, k, m, none)
-            total += len(r.key)
-            key, inv = np.unique(np.concatenate((key, r.key)), return_inverse=True)
-            n = np.bincount(inv, np.concatenate((n, np.ones(len(r.key)))), len(key)).astype(np.int64)
+            sums = prefix_sums(hashes)
+            at = np.arange(max(0, len(sums) - m))
+            value = ranked(range_hash(sums, at, at + m), none)
+            # A piece stands for its windows, about half of the k - m + 1 that hold it.
+            value = value[value < low]
+            total += len(hashes) * 2 // (k - m + 1)
+            key, inv = np.unique(np.concatenate((key, value)), return_inverse=True)
+            n = np.bincount(inv, np.concatenate((n, np.ones(len(value)))), len(key)).astype(np.int64)
             if len(key) > 1 << 20:  # lossy counting: rare ones are forgotten
                 sel = n > max(1, total // (16 * buckets))
                 key, n = key[sel], n[sel]
@@ -167,16 +176,16 @@ def dealt(docs: DataFrame, items: Items, k: int, m: int, hot: np.ndarray, bucket
         size = 0
         for part, data, off in chunks(batches):
             hashes, first, begin, end = items(data, off)
-            sums, other = prefix_sums(hashes), prefix_sums(hashes, 1)
+            sums = prefix_sums(hashes)
             r = find_runs(sums, first, k, m, shared.value)
             if not len(r.start):
                 continue
             last = r.start + r.count - 1 + k
-            one, two = range_hash(sums, r.start, last), range_hash(other, r.start, last, 1)
+            one = range_hash(sums, r.start, last)
             a, b = (r.start, last) if begin is None else (begin[r.start], end[last - 1])
             keys = part.column(0).to_numpy(zero_copy_only=False)[r.text]
             place = mix(r.key, 2) % np.uint64(buckets * PARTS)
-            held.append((place.astype(np.int64), one, two, keys, r.start - first[r.text], np.arange(len(a)) + len(strings)))
+            held.append((place.astype(np.int64), one, keys, r.start - first[r.text], np.arange(len(a)) + len(strings)))
             raw = data.tobytes()
             strings += [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             size += int((b - a).sum())
@@ -187,11 +196,14 @@ def dealt(docs: DataFrame, items: Items, k: int, m: int, hot: np.ndarray, bucket
             yield flush(held, strings)
 
     def flush(held: list[tuple], strings: list[bytes]) -> pa.RecordBatch:
-        place, one, two, key, start, index = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, key, two, one, place))
-        place, one, two, key, start, index = (x[order] for x in (place, one, two, key, start, index))
+        place, one, key, start, index = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, key, one, place))
+        place, one, key, start, index = (x[order] for x in (place, one, key, start, index))
         new = np.ones(len(order), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (place[1:] != place[:-1])
+        new[1:] = (one[1:] != one[:-1]) | (place[1:] != place[:-1])
+        for i in np.flatnonzero(~new).tolist():  # equal hashes are not enough
+            if strings[index[i]] != strings[index[i - 1]]:
+                new[i] = True
         kind = np.cumsum(new) - 1
         index, bucket, part = index[new], place // PARTS, (place % PARTS)[new]
         edge = np.flatnonzero(np.diff(bucket, prepend=-1))

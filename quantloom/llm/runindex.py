@@ -1,7 +1,7 @@
 """Suffix-array deduplication of bytes with a run-length index.
 
 Texts are treated as UTF-8 bytes.  Windows of ``k`` bytes meet by super-k-mers; strings of a bucket whose
-minimiser occurs once can hold no repeat, the others enter a run-compressed Burrows-Wheeler transform
+bytes around the minimiser occur once can hold no repeat, the others enter a run-compressed Burrows-Wheeler transform
 with suffix-array samples at the run ends.  Every string is streamed through it from its last byte to
 its first: each step follows the last-to-first mapping of a run and gives the suffix's row, and so its
 matching statistic: whether another suffix shares its next ``k`` bytes, and where these occur first.
@@ -134,7 +134,7 @@ def repeated_bytes(blob: Blob, hot: np.ndarray, k: int, m: int) -> tuple[np.ndar
     key or at a smaller place of the same text.
 
     Of equal strings all but the earliest are covered whole; the earliest of each kind are indexed, in the
-    order of their places, unless their minimiser is the only one of its kind in the bucket.
+    order of their places, unless the bytes around their minimiser occur once in the bucket.
     """
     sums, other = prefix_sums(_MIXED[blob.data]), prefix_sums(_MIXED[blob.data], 1)
     a, b = blob.off[:-1], blob.off[1:]
@@ -153,12 +153,17 @@ def repeated_bytes(blob: Blob, hot: np.ndarray, k: int, m: int) -> tuple[np.ndar
     # A string's minimiser is the least of its pieces of m bytes: all its windows share it.
     n = length - m + 1
     at = spread(a[pick], n)
-    value = ranked(mix(range_hash(sums, at, at + m), 1), hot)
+    value = ranked(range_hash(sums, at, at + m), hot)
     least = np.minimum.reduceat(value, np.cumsum(n) - n)
     hit = value == np.repeat(least, n)
-    kinds, which, count = np.unique(value[hit], return_inverse=True, return_counts=True)
+    own, at = np.repeat(np.arange(len(pick)), n)[hit], at[hit]
+    # A window that holds a minimiser also holds the half of the others' bytes before it, or after it.
+    half = -(-(k - m) // 2)
+    left, right = at - a[pick[own]] >= half, b[pick[own]] - at >= m + half
+    around = np.concatenate((range_hash(sums, at[left] - half, at[left] + m), mix(range_hash(sums, at[right], at[right] + m + half), 6)))
+    _, which, count = np.unique(around, return_inverse=True, return_counts=True)
     shared = np.zeros(len(pick), bool)
-    shared[np.repeat(np.arange(len(pick)), n)[hit][count[which] > 1]] = True
+    shared[np.concatenate((own[left], own[right]))[count[which] > 1]] = True
     if shared.any():
         chosen = np.flatnonzero(shared)
         chosen = chosen[np.lexsort((blob.start[earliest[chosen]], blob.key[earliest[chosen]]))]
