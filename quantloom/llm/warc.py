@@ -4,6 +4,7 @@ and rewritten as WARC, with synthesised identifiers, timestamps, types and diges
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -19,7 +20,7 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: Bytes of payload that one archive file holds, about; a file is read whole.
+#: Bytes of payload that one archive file holds, about; files are compressed and read whole.
 FILE_BYTES = 16 << 20
 
 _LAST = (1 << 63) - 1
@@ -99,60 +100,68 @@ def _header(head: bytes, name: str) -> str | None:
     return m[1].decode("utf-8", "replace") if m else None
 
 
-def _write(df: DataFrame, path: str) -> None:
-    """Rows of a string column as bytes, end to end: each value lacks the line feed that the writer adds."""
-    df.write.mode("error").text(path)
+def _write(df: DataFrame, path: str, records: int = 0) -> None:
+    """Rows of a binary column as bytes end to end, compressed by file: each value lacks the line feed that the
+    writer adds.  ``records``: rows of a file at most."""
+    df.select(F.col("value").cast("string").alias("value")).write.mode("error").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
-def write_arc(pages: DataFrame, path: str, version: int, date: str = "20000101000000") -> None:
-    """One ARC record for each page (page_id, url, html): an HTTP response whose payload is the html in UTF-8."""
+def write_arc(pages: DataFrame, path: str, version: int, date: str = "20000101000000", records: int = 1000) -> None:
+    """One ARC record for each page (page_id, url, html): an HTTP response whose payload is the html in UTF-8.
+    Every file of at most ``records`` rows begins with its version block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name = f"part-{TaskContext.get().partitionId()}.arc"
-        yield pa.RecordBatch.from_arrays([pa.array([arc_version_block(version, name, date)], pa.binary())], ["value"])
+        name, row = f"part-{TaskContext.get().partitionId()}.arc", 0
         for batch in batches:
             out = []
             for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if row % records == 0:
+                    out.append(arc_version_block(version, name, date))
+                    row += 1
                 payload = (html or "").encode()
                 head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n" + ("" if page is None else f"X-Page-Id: {page}\r\n") + "\r\n"
                 out.append(arc_record(version, url or "", date, head.encode() + payload, name))
+                row += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    _write(pages.select("page_id", "url", "html").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")), path)
+    _write(pages.select("page_id", "url", "html").mapInArrow(run, "value binary"), path, records)
 
 
 def _files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths)).select("path", "content")
 
 
-def read_arc(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of ARC files: rec (an identifier), page_id, url, ip, date, mime, head, payload, payload_digest."""
+def _content(value: pa.Scalar) -> bytes:
+    raw = value.as_py()
+    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+
+
+def _parsed(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bytes, int | None]]:
+    """(offset, fields, HTTP head, payload, page_id) of each ARC record."""
+    for at, fields, body in parse_arc(content):
+        head, payload = split_http(body)
+        page = _header(head, "X-Page-Id")
+        yield at, fields, head, payload, int(page) if page else None
+
+
+def index_arc(spark: SparkSession, *paths: str) -> DataFrame:
+    """Records of ARC files without their contents: path, at (offset), page_id, url, payload_bytes, payload_digest."""
+    names = ["path", "at", "page_id", "url", "payload_bytes", "payload_digest"]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows: list[list] = [[] for _ in range(9)]
-                size = 0
-                for at, f, body in parse_arc(content.as_py()):
-                    head, payload = split_http(body)
-                    page = _header(head, "X-Page-Id")
-                    rec = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{path.as_py()}#{at}"))
-                    row = (rec, int(page) if page else None, f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], head, payload, digest(payload))
-                    for column, v in zip(rows, row, strict=True):
-                        column.append(v)
-                    size += len(body)
-                    if size > 4 << 20:
-                        yield batch_of(rows)
-                        rows, size = [[] for _ in range(9)], 0
-                yield batch_of(rows)
+                rows = [(path.as_py(), at, page, f["URL"], len(payload), digest(payload)) for at, f, _, payload, page in _parsed(_content(content))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    def batch_of(rows: list[list]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["rec", "page_id", "url", "ip", "date", "mime", "head", "payload", "payload_digest"])
+    return _files(spark, *paths).mapInArrow(run, "path string, at long, page_id long, url string, payload_bytes long, payload_digest string")
 
-    return _files(spark, *paths).mapInArrow(run, "rec string, page_id long, url string, ip string, date string, mime string, head binary, payload binary, payload_digest string")
+
+def record_id(path: str, at: int) -> str:
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{path}#{at}"))
 
 
 def _iso(date: str) -> str:
@@ -161,37 +170,46 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
 
 
-def arc_to_warc(spark: SparkSession, arcs: list[str], path: str, least: int = 0) -> None:
+def arc_to_warc(spark: SparkSession, arcs: list[str], path: str, least: int = 0, records: int = 1000) -> None:
     """Convert ARC files to WARC.  Of records with equal payloads of ``least`` bytes at least, the one of the
-    smallest page_id (null last, then identifier) is a response and the others revisit it."""
-    records = read_arc(spark, *arcs)
-    index = records.select("rec", F.coalesce("page_id", F.lit(_LAST)).alias("page"), "payload_digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least)
-    first = index.groupBy("payload_digest").agg(F.min(F.struct("page", "rec")).alias("first"))
-    refs = index.join(first, "payload_digest").where("rec != first.rec").select("rec", F.col("first.rec").alias("ref"), F.col("first.page").alias("ref_page"))
+    smallest page_id (null last, then by place) is a response and the others revisit it.
+
+    Only offsets and digests are shuffled to find the revisits; each file then meets the list of its own.
+    """
+    index = index_arc(spark, *arcs).where(F.col("payload_bytes") >= least).select("path", "at", F.coalesce("page_id", F.lit(_LAST)).alias("page"), "payload_digest")
+    first = index.groupBy("payload_digest").agg(F.min(F.struct("page", "path", "at")).alias("first"))
+    refs = index.join(first, "payload_digest").where("path != first.path or at != first.at")
+    refs = refs.groupBy("path").agg(F.collect_list(F.struct("at", F.col("first.path").alias("ref"), F.col("first.at").alias("ref_at"), F.col("first.page").alias("page"))).alias("refs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                revisit = r["ref"] is not None
-                block = r["head"] if revisit else r["head"] + r["payload"]
-                fields = {
-                    "WARC-Record-ID": f"<urn:uuid:{r['rec']}>", "WARC-Date": _iso(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"],
-                    "WARC-Payload-Digest": "sha1:" + r["payload_digest"], "WARC-Block-Digest": "sha1:" + digest(block), "X-Payload-Length": str(len(r["payload"])),
-                }
-                if r["page_id"] is not None:
-                    fields["X-Page-Id"] = str(r["page_id"])
-                if revisit:
-                    fields |= {"WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:uuid:{r['ref']}>"}
-                    if r["ref_page"] != _LAST:
-                        fields["X-Refers-To-Page"] = str(r["ref_page"])
-                http = block.startswith(b"HTTP/")
-                fields["Content-Type"] = "application/http; msgtype=response" if http else r["mime"]
-                out.append(warc_record("revisit" if revisit else "response" if http else "resource", fields, block)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for file, content, listed in zip(*batch.columns, strict=True):
+                ref_of = {r["at"]: r for r in listed.as_py() or ()}
+                out, size = [], 0
+                for at, f, head, payload, page in _parsed(_content(content)):
+                    ref = ref_of.get(at)
+                    block = head if ref else head + payload
+                    fields = {
+                        "WARC-Record-ID": f"<urn:uuid:{record_id(file.as_py(), at)}>", "WARC-Date": _iso(f["Archive-date"]), "WARC-Target-URI": f["URL"], "WARC-IP-Address": f["IP-address"],
+                        "WARC-Payload-Digest": "sha1:" + digest(payload), "WARC-Block-Digest": "sha1:" + digest(block), "X-Payload-Length": str(len(payload)),
+                    }
+                    if page is not None:
+                        fields["X-Page-Id"] = str(page)
+                    if ref:
+                        fields |= {"WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:uuid:{record_id(ref['ref'], ref['ref_at'])}>"}
+                        if ref["page"] != _LAST:
+                            fields["X-Refers-To-Page"] = str(ref["page"])
+                    http = head != b""
+                    fields["Content-Type"] = "application/http; msgtype=response" if http else f["Content-type"]
+                    out.append(warc_record("revisit" if ref else "response" if http else "resource", fields, block)[:-1])
+                    size += len(block)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                        out, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    joined = records.join(refs, "rec", "left").select("rec", "page_id", "url", "ip", "date", "mime", "head", "payload", "payload_digest", "ref", "ref_page")
-    _write(joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")), path)
+    joined = _files(spark, *arcs).join(refs, "path", "left").select("path", "content", "refs")
+    _write(joined.mapInArrow(run, "value binary"), path, records)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -204,7 +222,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(1):
                 rows: list[list] = [[] for _ in names]
-                for f, block in parse_warc(content.as_py()):
+                for f, block in parse_warc(_content(content)):
                     kind, told = f["WARC-Type"], f.get("WARC-Payload-Digest", "").removeprefix("sha1:")
                     payload = split_http(block)[1]
                     stored = kind != "revisit"
@@ -228,9 +246,9 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    dealt = pages.repartition(max(1, -(-size // (2 * FILE_BYTES))), "page_id")
+    size, n = pages.agg(F.sum(F.octet_length("html")), F.count(F.lit(1))).first()
+    records = min(max(2, n * FILE_BYTES // max(size or 0, 1)), 100_000)
     for v in ARC_FIELDS:
-        write_arc(dealt.where(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(2)) == v - 1), f"{folder}/arc-v{v}", v)
-    arc_to_warc(spark, [f"{folder}/arc-v{v}" for v in ARC_FIELDS], f"{folder}/warc")
+        write_arc(pages.where(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(2)) == v - 1), f"{folder}/arc-v{v}", v, records=records)
+    arc_to_warc(spark, [f"{folder}/arc-v{v}" for v in ARC_FIELDS], f"{folder}/warc", records=records)
     return read_warc(spark, f"{folder}/warc")
