@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._superkmers import numbered
-from ._text import LOWER, SPACED, Words, chunks, flat, mix, packed, partitions, prefix_sums, range_hash, shared_dir, spread, windows
+from ._text import CHUNK, LOWER, SPACED, Words, chunks, flat, mix, packed, partitions, prefix_sums, range_hash, shared_dir, spread, windows
 
 #: Frequent shingles that are listed at most (16 bytes each are broadcast); the order of the others is by hash.
 HOT = 1 << 17
 #: Cells of the hash counts of the suffix filter.
 CELLS = 32
 #: Prefix entries that a task gathers before it sends them.
-FLUSH = 1_000_000
+FLUSH = 300_000
 #: One in so many shingles takes part in the first round.
 FIRST = 8
 
@@ -84,7 +84,7 @@ def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
             u, n = np.unique(h, return_counts=True)
             seen, inv = np.unique(np.concatenate((seen, u)), return_inverse=True)
             times = np.bincount(inv, np.concatenate((times, n)), len(seen)).astype(np.int64)
-            if len(seen) > 3 << 20:  # lossy counting: those seen once are forgotten
+            if len(seen) > 1 << 19:  # lossy counting: those seen once are forgotten
                 seen, times = seen[times > 1], times[times > 1]
         sel = times > 1
         top = np.argsort(-times[sel], kind="stable")[:HOT]
@@ -252,8 +252,11 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rul
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            sizes = np.array([sum(zstandard.frame_content_size(x.as_py()) for x in pair) for pair in zip(whole.column(2), whole.column(3), strict=True)], np.int64)
+            ends, at = np.concatenate(([0], np.cumsum(sizes))), 0
+            while at < whole.num_rows:  # by the bytes of the texts
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+                batch, at = whole.slice(at, to - at), to
                 a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 blobs = dict(zip(a.tolist(), batch.column(2), strict=True)) | dict(zip(b.tolist(), batch.column(3), strict=True))
                 keys = np.array(sorted(blobs), np.int64)
