@@ -1,13 +1,13 @@
 """Jaccard join on word n-grams by rare-first prefix filtering.
 
-Shingles are ordered by document frequency: those that occur in few documents come first (by hash), the
-frequent ones follow, rarest first.  Two sets that are similar share one of their first shingles, so
+Shingles are ordered by document frequency, rarest first, as counted in hashed cells over all texts; ties
+go by hash.  Two sets that are similar share one of their first shingles, so
 only these are joined.  Candidates must pass filters on the lengths, on the positions of the shared
 shingle, and on what hash counts of both sets bound (the suffix filter); each pair is verified once on
 the whole texts.
 
 Groups of copies do not yield all their pairs: equal sets are linked by their digest; in a first round
-only the members of a shared shingle and its first document are verified; in the second round only pairs
+only the members of a shared shingle and its first and last documents are verified; in the second round only pairs
 that the links so far do not connect.  So no link between components is lost.
 """
 
@@ -25,12 +25,12 @@ from ._components import components
 from ._superkmers import numbered
 from ._text import CHUNK, LOWER, SPACED, Words, chunks, flat, mix, packed, partitions, prefix_sums, range_hash, shared_dir, spread, windows
 
-#: Frequent shingles that are listed at most (16 bytes each are broadcast); the order of the others is by hash.
-HOT = 1 << 17
+#: Cells in which documents of shingles are counted, a bounded array that is broadcast, and its slices.
+COUNTED, SLICES = 1 << 22, 64
 #: Cells of the hash counts of the suffix filter.
 CELLS = 32
 #: Prefix entries that a task gathers before it sends them.
-FLUSH = 300_000
+FLUSH = 500_000
 #: One in so many shingles takes part in the first round.
 FIRST = 8
 
@@ -70,26 +70,20 @@ class Rule:
 
 
 def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Of each text its set's size, digest and hash counts (kind 0), and of each task the shingles that it
-    saw more than once, with their numbers of documents (kind 1)."""
+    """Of each text its set's size, digest and hash counts (kind 0), and of each task the numbers of documents in
+    slices of the counted cells (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        times = np.zeros(COUNTED, np.uint32)
         for part, data, off in chunks(batches):
             text, h, size = shingles(data, off, rule.n)
             one, two = (_sum_by(mix(h, s), size) for s in (31, 32))
             cells = np.bincount(text * CELLS + (h % np.uint64(CELLS)).astype(np.int64), minlength=len(size) * CELLS).reshape(-1, CELLS)
             counted = [x.tobytes() for x in np.minimum(cells, 65535).astype("<u2")]
             yield batch(np.zeros(len(size), np.int8), part.column(0), part.column(1), size, one.view(np.int64), two.view(np.int64), counted)
-            u, n = np.unique(h, return_counts=True)
-            seen, inv = np.unique(np.concatenate((seen, u)), return_inverse=True)
-            times = np.bincount(inv, np.concatenate((times, n)), len(seen)).astype(np.int64)
-            if len(seen) > 1 << 19:  # lossy counting: those seen once are forgotten
-                seen, times = seen[times > 1], times[times > 1]
-        sel = times > 1
-        top = np.argsort(-times[sel], kind="stable")[:HOT]
-        seen, times = seen[sel][top], times[sel][top]
-        yield batch(np.ones(len(seen), np.int8), pa.array(seen.view(np.int64)), pa.nulls(len(seen), pa.int64()), times, *[np.zeros(len(seen), np.int64)] * 2, [b""] * len(seen))
+            np.add.at(times, (h >> np.uint64(40)).astype(np.int64) % COUNTED, 1)
+        slices = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in times.reshape(SLICES, -1)]
+        yield batch(np.ones(SLICES, np.int8), pa.array(np.arange(SLICES)), pa.nulls(SLICES, pa.int64()), *[np.zeros(SLICES, np.int64)] * 3, slices)
 
     def batch(*columns) -> pa.RecordBatch:
         kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -105,28 +99,40 @@ def _sum_by(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return total[end] - total[end - size]
 
 
-def _entries(docs: DataFrame, rule: Rule, hot: np.ndarray, often: np.ndarray, buckets: int) -> DataFrame:
+def _counts(stored: DataFrame) -> np.ndarray:
+    """Number of documents of each counted cell, slices summed in parallel."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(COUNTED // SLICES, np.uint32)
+        for x in table.column("cells"):
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint32)
+        return pa.table({"key": table.column("key").slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
+
+    rows = stored.where("kind = 1").select("key", "cells").groupBy("key").applyInArrow(add, "key long, cells binary").collect()  # SLICES rows
+    out = np.zeros((SLICES, COUNTED // SLICES), np.uint32)
+    for r in rows:
+        out[r.key] = np.frombuffer(r.cells, np.uint32)
+    return out.ravel()
+
+
+def _entries(docs: DataFrame, rule: Rule, counts: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, blob) of the prefix entries: shingle, digest of the set, key, size, position."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, often))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, often = shared.value
+        counts = shared.value
         held: list[tuple] = []
         size = 0
         for part, data, off in chunks(batches):
             text, h, n = shingles(data, off, rule.n)
-            rank = np.zeros(len(h), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                rank = np.where(hot[at] == h, often[at], 0)
-            order = np.lexsort((h, rank, text))
+            order = np.lexsort((h, counts[(h >> np.uint64(40)).astype(np.int64) % COUNTED], text))
             h = h[order]
             digest = _sum_by(mix(h, 31), n)
             pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             sel = pos < np.repeat(rule.prefix(n), n)
             own = text[sel]
             keys = part.column(0).to_numpy(zero_copy_only=False)
-            held.append((h[sel], digest[own], keys[own], n[own], pos[sel]))
+            held.append((h[sel], digest[own] >> np.uint64(16), keys[own], n[own], pos[sel]))
             size += len(own)
             if size > FLUSH:
                 yield flush(held)
@@ -140,13 +146,13 @@ def _entries(docs: DataFrame, rule: Rule, hot: np.ndarray, often: np.ndarray, bu
         order = np.lexsort((key, digest, h, bucket))
         bucket, h, digest, key, n, pos = (x[order] for x in (bucket, h, digest, key, n, pos))
         new = np.ones(len(h), bool)  # of equal sets the least key goes
-        new[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1])
+        new[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (n[1:] != n[:-1])
         bucket, h, digest, key, n, pos = (x[new] for x in (bucket, h, digest, key, n, pos))
         edge = np.flatnonzero(np.diff(bucket, prepend=-1))
         out = []
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True):
-            columns = (np.diff(h[a:b], prepend=np.uint64(0)), digest[a:b], key[a:b], n[a:b].astype(np.int32), pos[a:b].astype(np.int32))
-            out.append(zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(b - a).tobytes(), *(c.tobytes() for c in columns)])))
+            columns = (np.diff(h[a:b], prepend=np.uint64(0)), (digest[a:b] & np.uint64(0xFFFF)).astype(np.uint16), (digest[a:b] >> np.uint64(16)).astype(np.uint32), key[a:b], n[a:b].astype(np.int32), pos[a:b].astype(np.int32))
+            out.append(zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(b - a).tobytes(), *(c.tobytes() for c in columns)])))
         return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     return docs.select("key", "text").mapInArrow(run, "bucket int, blob binary")
@@ -157,11 +163,11 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         count, at, columns = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-        for kind in (np.uint64, np.uint64, np.int64, np.int32, np.int32):
+        for kind in (np.uint64, np.uint16, np.uint32, np.int64, np.int32, np.int32):
             columns.append(np.frombuffer(raw, kind, count, at))
             at += columns[-1].nbytes
-        columns[0] = np.cumsum(columns[0], dtype=np.uint64)
-        out.append(columns)
+        h, low, high, *rest = columns
+        out.append((np.cumsum(h, dtype=np.uint64), high.astype(np.uint64) << np.uint64(16) | low, *rest))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -170,10 +176,10 @@ def _shared(entries: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         h, digest, key, n, pos = _unpack([x.as_py() for x in table.column("blob")])
-        order = np.lexsort((key, digest, h))
+        order = np.lexsort((key, n, digest, h))
         h, digest, key, n, pos = (x[order] for x in (h, digest, key, n, pos))
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1])
+        new[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (n[1:] != n[:-1])
         h, key, n, pos = (x[new] for x in (h, key, n, pos))
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
@@ -184,17 +190,14 @@ def _shared(entries: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of the first document of a shingle and each other one, from a share of the shingles."""
+    """Pairs (a, b) of the first and the last document of a shingle with each other one, from a share of the
+    shingles.  The positional filter holds at the first shared shingle only, so here just lengths count."""
     some = members.where(F.pmod(F.xxhash64("h"), F.lit(FIRST)) == 0)
-    hubs = some.groupBy("h").agg(F.min(F.struct("key", "n", "pos")).alias("hub"))
-    pairs = some.join(hubs, "h").where("key != hub.key")
-    return pairs.where(_may(rule, "n", "pos", "hub.n", "hub.pos")).select(F.col("hub.key").alias("a"), F.col("key").alias("b")).distinct()
-
-
-def _may(rule: Rule, a: str, pos_a: str, b: str, pos_b: str):
+    hubs = some.groupBy("h").agg(F.min(F.struct("key", "n")).alias("lo"), F.max(F.struct("key", "n")).alias("hi"))
+    met = some.join(hubs, "h").select("key", "n", F.explode(F.array("lo", "hi")).alias("hub")).where("key != hub.key")
     p = rule.percent
-    need = f"-floor(-{p} * ({a} + {b}) / {100 + p})"
-    return F.expr(f"100 * least({a}, {b}) >= {p} * greatest({a}, {b}) and least({a} - {pos_a}, {b} - {pos_b}) >= {need}")
+    near = met.where(f"100 * least(n, hub.n) >= {p} * greatest(n, hub.n)")
+    return near.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
 def _crossing(members: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
@@ -310,13 +313,11 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     _profiles(docs, rule).write.parquet(f"{folder}/profiles")
     stored = spark.read.parquet(f"{folder}/profiles")
     profiles = stored.where("kind = 0")
-    often = stored.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT).toPandas()  # bounded
-    order = np.argsort(often["key"].to_numpy(np.int64).view(np.uint64))
-    hot, times = often["key"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]
+    counts = _counts(stored)
 
     total = profiles.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(4 * partitions(spark), total * (100 - percent) // 100 // 250_000))
-    _shared(_entries(docs, rule, hot, times, buckets)).write.parquet(f"{folder}/members")
+    _shared(_entries(docs, rule, counts, buckets)).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
     packed(docs.select("key", "text")).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "packed").write.option("compression", "none").parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
