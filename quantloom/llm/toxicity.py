@@ -4,7 +4,8 @@ Each word scores the log-odds of toxic against clean texts, smoothed by Dirichle
 on the prefixes it begins with, so that rare inflections inherit from their stem.  A linear scan finds
 every maximal segment of positive total; by extreme-value theory a segment of score S among n words has
 normalised score lambda S - ln(K n).  The sum over a document's significant segments is turned into a
-probability by a logistic curve fitted on the same training rows.
+probability by a logistic curve fitted on the same training rows.  Every occurrence of a word takes part in
+the scan; only the evidence of a passage is discounted by the share that repeats of its words have in it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ MODEL_WORDS = 1 << 17
 PREFIXES = (9, 8, 7, 6, 5, 4)
 #: Least z-score of a word that counts as toxic, and the weight of its prior in words.
 LEAST_Z, PRIOR_WORDS = 3.0, 2.0
-#: Occurrences of a word that count in one text at most, in fitting and scoring, so that no text of repeats rules.
-PER_TEXT = 3
+#: Occurrences of a word that count as evidence at most, of one text in fitting and of one passage in scoring, so
+#: that no text of repeats rules.  Passages are found by the scores of all occurrences.
+REPEATS = 3
 
 
 class Model(NamedTuple):
@@ -61,15 +63,6 @@ def _weights(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[Words, np
         if len(model.key):
             at = np.minimum(np.searchsorted(model.key, h), len(model.key) - 1)
             out = np.where((model.key[at] == h) & (h != 0), model.weight[at], out)
-    # Repeats of one word say no more than a few of it.
-    hit = np.flatnonzero(out > 0)
-    text = np.searchsorted(w.first, hit, "right")
-    order = np.lexsort((hit, w.hash[hit], text))
-    new = np.ones(len(hit), bool)
-    new[1:] = (w.hash[hit][order[1:]] != w.hash[hit][order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-    at = np.arange(len(hit))
-    again = at - at[new][np.cumsum(new) - 1] if len(hit) else at
-    out[hit[order[again >= PER_TEXT]]] = min(model.default, 0.0)
     return w, out
 
 
@@ -95,19 +88,33 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     return [(r - l, int(a), int(b)) for l, r, a, b in found]
 
 
-def _evidence(model: Model, scores: np.ndarray) -> tuple[float, list[tuple[float, int, int]]]:
-    """Sum of the normalised scores of the significant segments, and these."""
+def _counted(scores: np.ndarray, words: np.ndarray) -> float:
+    """Share of the positive scores of a passage that counts as evidence: of each word the first REPEATS occurrences."""
+    good = scores > 0
+    scores, words = scores[good], words[good]
+    order = np.argsort(words, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = words[order][1:] != words[order][:-1]
+    at = np.arange(len(order))
+    nth = at - at[new][np.cumsum(new) - 1]
+    return float(scores[order[nth < REPEATS]].sum() / scores.sum())
+
+
+def _evidence(model: Model, scores: np.ndarray, words: np.ndarray) -> tuple[float, list[tuple[float, int, int]]]:
+    """Sum of the normalised scores of the significant segments, repeats of words discounted, and all these
+    segments with their whole scores."""
     n = len(scores)
     if not n or not (scores > 0).any():
         return 0.0, []
-    kept = [(model.rate * s - np.log(max(model.k * n, 1e-9)), a, b) for s, a, b in segments(scores)]
+    chance = np.log(max(model.k * n, 1e-9))
+    kept = [(model.rate * s - chance, a, b) for s, a, b in segments(scores)]
     kept = [x for x in kept if x[0] > 0]
-    return float(sum(x[0] for x in kept)), kept
+    return float(sum(max((x + chance) * _counted(scores[a:b], words[a:b]) - chance, 0.0) for x, a, b in kept)), kept
 
 
 def _rows(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list]:
     w, scores = _weights(model, data, off)
-    found = [_evidence(model, scores[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    found = [_evidence(model, scores[a:b], w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
     return np.array([f[0] for f in found]), [f[1] for f in found]
 
 
@@ -159,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             h, text, kind = h[order], text[order], kind[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            times = np.minimum(np.diff(np.append(np.flatnonzero(new), len(h))), PER_TEXT)
+            times = np.minimum(np.diff(np.append(np.flatnonzero(new), len(h))), REPEATS)
             h, text, kind = h[new], text[new], kind[new]
             u, one, inv = np.unique(h, return_index=True, return_inverse=True)
             y = np.bincount(inv, weights=times * label[text], minlength=len(u)).astype(np.int64)

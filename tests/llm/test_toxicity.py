@@ -51,3 +51,23 @@ def test_odd_rows(spark, odd, empty, clash, real, sf):
     assert toxicity.score(odd, none).where("score >= 0.5").count() == 0
     nulls = spark.createDataFrame([(None, 1), (0, None), (3, 1), (3, 1)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.fit(odd, nulls)).count() == 9
+
+
+def test_repeats_blank_out_no_passage(spark):
+    """Three early single places of each toxic word leave dense passages behind them as they are."""
+    bad = ["vile", "grim", "foul", "dire"]
+    data, off = np.frombuffer(" ".join(bad).encode(), np.uint8), np.array([0, len(" ".join(bad))])
+    key = np.sort(toxicity.features(data, off)[1][0])
+    model = toxicity.Model(key, np.full(4, 2.0), -0.2, 1.0, 0.1, -2.0, 1.0)
+    singles = [x for _ in range(3) for word in bad for x in [word, *["plain"] * 60]]
+    gap, dense = ["plain"] * 150, bad * 3
+    texts = [singles, singles + dense, singles + dense + gap + dense, ["vile"] * 1000, bad * 100]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    places = {i: [(p.start, p.end) for p in r.passages] for i, r in got.items()}
+    n, end = len(singles), len(singles) + len(dense)
+    assert places[0] == [] and places[1] == [(n, end)] and places[2] == [(n, end), (end + 150, end + 162)]
+    assert got[0].score < 0.5 < got[1].score < got[2].score and got[1].predicted == got[2].predicted == 1
+    # Repeats of one word add nothing to the score, but the place is found; a long passage is not worse than a short one.
+    assert places[3] == [(0, 1000)] and got[3].score < 0.9 and places[4] == [(0, 400)] and got[4].predicted == 1
+    assert [r.doc_id for r in toxicity.accepted(df, model).select("doc_id").collect() if r.doc_id in (1, 2, 4)] == []
