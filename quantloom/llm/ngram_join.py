@@ -8,7 +8,8 @@ the whole texts.
 
 Groups of copies do not yield all their pairs: equal sets are linked by their digest; in a first round
 only the members of a shared shingle and its first and last documents are verified; in the second round only pairs
-that the links so far do not connect.  So no link between components is lost.
+that the links so far do not connect.  So no link between components is lost.  All links lie within components, so
+their numbers are counted there: each two different sets of a component are compared once, in tiles of two blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ CELLS = 32
 FLUSH = 500_000
 #: One in so many shingles takes part in the first round.
 FIRST = 8
+#: Sets and shingles of a block of a component, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,16 +279,75 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rul
     return left.join(own("a"), "a").join(own("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(verify, "u long, v long")
 
 
+def _tiles(sets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, label, lo, hi, block, key, many, packed): the sets of each component with several of them, dealt into
+    blocks by hash, once for each tile (lo, hi) that the block belongs to."""
+    named = sets.withColumnRenamed("v", "key").join(labels, "key", "left").select("key", "n", "many", F.coalesce("label", "key").alias("label"))
+    crowd = named.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).where("sets > 1")
+    blocks = crowd.select("label", F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
+    own = named.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "many")
+    bucket = F.pmod(F.xxhash64("label", "lo", "hi"), F.lit(4 * partitions(texts.sparkSession)))
+    return tiled.join(texts, "key").select(bucket.alias("bucket"), "label", "lo", "hi", "block", "key", "many", "packed")
+
+
+def _numbers(tiles: DataFrame, rule: Rule) -> DataFrame:
+    """(v, others): the documents of other sets that link with each set, all pairs of each tile compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        label, lo, hi, block, key, many = (table.column(c).to_numpy() for c in ("label", "lo", "hi", "block", "key", "many"))
+        order = np.lexsort((key, block, hi, lo, label))
+        label, lo, hi, block, key, many = (x[order] for x in (label, lo, hi, block, key, many))
+        blobs, unpacker = table.column("packed").take(pa.array(order)), zstandard.ZstdDecompressor()
+        new = np.ones(len(label), bool)
+        new[1:] = (label[1:] != label[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        edges = np.append(np.flatnonzero(new), len(label))
+        sizes = np.concatenate(([0], np.cumsum([zstandard.frame_content_size(x.as_py()) for x in blobs])))
+        links, tile = np.zeros(len(label), np.int64), 0
+        while tile < len(edges) - 1:  # whole tiles, by the bytes of the texts
+            to = max(tile + 1, int(np.searchsorted(sizes[edges], sizes[edges[tile]] + CHUNK, "right")) - 1)
+            begin, end = int(edges[tile]), int(edges[to])
+            data, off = flat(pa.array([unpacker.decompress(x.as_py()) for x in blobs.slice(begin, end - begin)], pa.large_binary()))
+            _, h, size = shingles(data, off, rule.n)
+            first = np.concatenate(([0], np.cumsum(size)))
+            for x, y in zip((edges[tile:to] - begin).tolist(), (edges[tile + 1 : to + 1] - begin).tolist(), strict=True):
+                at = slice(begin + x, begin + y)
+                compare(h[first[x] : first[y]], size[x:y], block[at], bool(lo[begin + x] != hi[begin + x]), many[at], links[at])
+            tile = to
+        return pa.table({"v": key, "others": links})
+
+    def compare(h: np.ndarray, size: np.ndarray, block: np.ndarray, two: bool, many: np.ndarray, links: np.ndarray) -> None:
+        """Of two blocks each set of one meets all of the other; of one block each meets those behind it."""
+        ids = np.unique(h, return_inverse=True)[1]
+        first = np.concatenate(([0], np.cumsum(size)))
+        has = np.zeros(len(h), np.int32)
+        half = int(np.searchsorted(block, block[0], "right"))
+        for i in range(half if two else len(size) - 1):
+            s = half if two else i + 1
+            if s == len(size):
+                break
+            mine = ids[first[i] : first[i + 1]]
+            has[mine] = 1
+            common = np.add.reduceat(has[ids[first[s] :]], first[s:-1] - first[s])
+            has[mine] = 0
+            ok = (100 * common >= rule.percent * (size[i] + size[s:] - common)) & (common > 0)
+            links[i] += many[s:][ok].sum()
+            links[s:][ok] += many[i]
+
+    return tiles.groupBy("bucket").applyInArrow(run, "v long, others long").groupBy("v").agg(F.sum("others").alias("others"))
+
+
 def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (0 for
-    none, else the number of verified or equal partners that the join needed).
+    none, else the number of all other documents that link with it, those with equal sets too).
 
     Null and empty texts and those of white space have no shingles and link with nothing; a text of fewer
     than ``n`` words has one.  A null doc_id is the largest; rows of one doc_id with different texts are
     different documents, equal rows are one; an empty table gives no rows.
     """
     keyed, plain = numbered(docs)
-    out = _classes(keyed, n, percent)
+    out = _classes(keyed, n, percent, count=True)
     if not plain:
         names = keyed.select(F.col("key").alias("component"), F.col("doc_id").alias("named")).dropDuplicates(["component"])
         return out.join(names, "component").select("doc_id", "n_shingles", F.col("named").alias("component_id"), "n_links")
@@ -306,8 +368,9 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return kept.select(*(back.get(c, F.col(c)) for c in docs.columns))
 
 
-def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, doc_id, n_shingles, component, n_links) of (key, doc_id, text); component: the least key."""
+def _classes(docs: DataFrame, n: int, percent: int, count: bool = False) -> DataFrame:
+    """(key, doc_id, n_shingles, component and, if they are counted, n_links) of (key, doc_id, text); component: the
+    least key."""
     spark, rule = docs.sparkSession, Rule(n, percent)
     folder = shared_dir(spark, "ngrams")
     _profiles(docs, rule).write.parquet(f"{folder}/profiles")
@@ -322,7 +385,7 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     packed(docs.select("key", "text")).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "packed").write.option("compression", "none").parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
 
-    sets = profiles.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("v"))
+    sets = profiles.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("v"), F.countDistinct("key").alias("many") if count else F.lit(1).alias("many"))
     equal = profiles.where("n > 0").join(sets, ["one", "two", "n"]).where("key != v").select(F.col("key").alias("u"), "v")
     _verified(_stars(members, rule), profiles, texts, rule).write.parquet(f"{folder}/links/1")
     links = spark.read.schema("u long, v long").parquet(f"{folder}/links/1").unionByName(equal)
@@ -330,10 +393,12 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     _verified(_crossing(members, labels, rule), profiles, texts, rule).write.parquet(f"{folder}/links/2")
     more = spark.read.schema("u long, v long").parquet(f"{folder}/links/2")
     if not more.isEmpty():
-        links = links.unionByName(more)
         # Labels stand for their links, so only the new links are added to them.
         labels = components(labels.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(more))
-    ends = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    degree = ends.groupBy(F.col("u").alias("key")).agg(F.count(F.lit(1)).alias("n_links"))
-    found = profiles.select("key", "doc_id", F.col("n").alias("n_shingles")).join(labels, "key", "left").join(degree, "key", "left")
-    return found.select("key", "doc_id", "n_shingles", F.coalesce("label", "key").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = profiles.join(labels, "key", "left").withColumn("component", F.coalesce("label", "key")).withColumnRenamed("n", "n_shingles")
+    if not count:
+        return found.select("key", "doc_id", "n_shingles", "component")
+    _numbers(_tiles(sets, labels, texts), rule).write.parquet(f"{folder}/numbers")
+    numbers = spark.read.schema("v long, others long").parquet(f"{folder}/numbers")
+    degree = sets.join(numbers, "v", "left").select("one", "two", F.col("n").alias("n_shingles"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links"))
+    return found.join(degree, ["one", "two", "n_shingles"], "left").select("key", "doc_id", "n_shingles", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -62,6 +62,22 @@ def test_crowded_shingles_lose_no_link(spark, monkeypatch):
         assert rows(ngram_join.classes(df, 4, percent).select("doc_id", "n_shingles", "component_id")) == sorted(brute.classes(chain, 4, percent), key=repr)
 
 
+def test_numbers_of_links_match_brute_force(spark, mixed, monkeypatch):
+    """All links count, not only those that connect components; blocks of any size give the same."""
+    for n, percent in ((4, 85), (2, 50)):
+        sets = {}
+        for d, t in texts(mixed):
+            w = brute.SPACED.findall(brute.lower(t))
+            sets[d] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+        want = {a: sum(a != b and bool(x & y) and 100 * len(x & y) >= percent * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+        assert max(want.values()) > 20
+        for block in (512, 7):
+            monkeypatch.setattr(ngram_join, "BLOCK", block)
+            assert {r.doc_id: r.n_links for r in ngram_join.classes(mixed, n, percent).collect()} == want
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "z"), (4, None)], "doc_id long, text string")
+    assert rows(ngram_join.classes(twice).select("doc_id", "n_links").distinct()) == [(1, 1), (2, 1), (3, 0), (4, 0)]
+
+
 def test_odd_rows(spark, odd, empty, clash):
     # Equal rows count as one, so they are taken once by the plain versions.
     once = list(dict.fromkeys(texts(odd)))
