@@ -6,6 +6,9 @@ shingles and windows are found with a handful of array passes and no Python obje
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,18 +23,41 @@ CHUNK = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
-_Q = np.uint64(0xD1342543DE82EF95)
-_QI = np.uint64(pow(int(_Q), -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers are kept for so many places; longer texts compute theirs anew, so that a worker's memory stays small.
+KEPT_POWERS = CHUNK
+_powers: list[np.ndarray] = []
+_C = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); it goes when the
+    application ends.  Only on one machine, where none is set, a temporary folder serves; a cluster without is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if current.isDefined():
+            base = current.get()
+        elif re.match(r"local($|\[)", spark.sparkContext.master):
+            base = tempfile.mkdtemp(prefix="checkpoints-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at, fs = _file_system(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{path}/data"
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        at, fs = _file_system(spark, path)
+        fs.delete(at, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -70,6 +96,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on after a task, and others need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
 
 
 def packed(df: DataFrame, column: str = "text") -> DataFrame:
@@ -102,17 +136,17 @@ def unpacked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[
             at = to
 
 
-def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd constant and of its inverse modulo 2^64, at least ``n`` of them."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size, (a, b) = 1 << max(16, int(n - 1).bit_length()), ((_P, _PI), (_Q, _QI))[base]
-        have = []
-        for x in (a, b):
+    have = _powers
+    if not have or len(have[0]) < n:
+        size, have = 1 << max(16, int(n - 1).bit_length()), []
+        for x in (_P, _PI):
             p = np.full(size, x, np.uint64)
             p[0] = 1
             have.append(np.cumprod(p, dtype=np.uint64))
-        _powers[base] = tuple(have)
+        if size <= KEPT_POWERS:
+            _powers[:] = have
     return have[0][:n], have[1][:n]
 
 
@@ -124,16 +158,68 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(values: np.ndarray, base: int = 0) -> np.ndarray:
-    """H with H[j] - H[i] = sum of values[i:j] times powers; for hashes of any range in O(1)."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """H with H[j] - H[i] = sum of values[i:j] times powers modulo 2^64; for hashes of any range in O(1)."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values), base)[0], dtype=np.uint64, out=out[1:])
+    np.cumsum(values * powers(len(values))[0], dtype=np.uint64, out=out[1:])
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
-    """Hash of each range [start, end) of what ``prefix_sums`` was given; equal ranges, equal hashes."""
-    return (sums[end] - sums[start]) * powers(len(sums), base)[1][start]
+def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each range [start, end) of what ``prefix_sums`` was given; equal ranges, equal hashes.
+
+    Different long ranges with a recursive pattern collide, so this only ranks, deals out and proposes; what
+    decides that two things are equal is one of the hashes below, or the bytes themselves.
+    """
+    return (sums[end] - sums[start]) * powers(len(sums))[1][start]
+
+
+#: Bytes from which on a range is hashed by itself.
+_LONG = 1 << 10
+
+
+def block_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of each byte range [start, end): eight bytes at a time go through a mixing chain."""
+    n = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(n.astype(np.uint64), 100 + seed)
+    live = np.flatnonzero((n > 0) & (n < _LONG))
+    done = 0
+    while len(live):
+        left = n[live] - done
+        cut = np.where(left >= 8, 0, 8 * (8 - left)).astype(np.uint64)
+        out[live] = mix(out[live] ^ (eight[start[live] + done] << cut))
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(n >= _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
+    return out
+
+
+def sequence_hash(values: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of each run values[first[i]:first[i + 1]]: a sum of mixes of value and place, so that no pattern
+    of places cancels."""
+    n = np.diff(first)
+    place = np.arange(int(first[-1] - first[0])) - np.repeat(first[:-1] - first[0], n)
+    each = mix(mix(values[first[0] : first[-1]], 200 + seed) + place.astype(np.uint64) * _P, 201 + seed)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)))
+    return mix(total[first[1:] - first[0]] - total[first[:-1] - first[0]] + n.astype(np.uint64), 202 + seed)
+
+
+def gram_hash(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """64 bits of each ``k`` consecutive values (as many as there are starts), as a tree of mixes by doubling."""
+    total = max(0, len(values) - k + 1)
+    power, have, out, at = 1, mix(values, 300 + seed), None, 0
+    while power <= k:
+        if k & power:
+            piece = have[at : at + total]
+            out = piece if out is None else mix(out * _P + piece, 301 + seed)
+            at += power
+        if power * 2 <= k:
+            have = mix(have[:-power] * _P + have[power:], 302 + seed)
+        power *= 2
+    return out
 
 
 def table(*excluded: tuple[int, int]) -> np.ndarray:
@@ -172,8 +258,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, off)
         if hashes:
-            sums = prefix_sums(data.astype(np.uint64) + np.uint64(1))
-            self.hash = mix(range_hash(sums, self.start, self.end))
+            self.hash = block_hash(data, self.start, self.end)
 
     @property
     def count(self) -> np.ndarray:

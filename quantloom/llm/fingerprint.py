@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SPACED, Words, flat, mix, partitions, prefix_sums, range_hash, spread
+from ._text import SPACED, Words, flat, mix, partitions, sequence_hash, spread
 
 #: Cells of a fingerprint, in three equal parts; larger sketches are used only to compare.
 CELLS = 24
@@ -49,7 +49,7 @@ def digests(data: np.ndarray, off: np.ndarray) -> Digests:
     last |= _STOP[data[w.end - 1]] | ((w.hash & np.uint64(_ROUGH)) == 0)
     last[w.first[1:][w.count > 0] - 1] = True
     to = np.flatnonzero(last) + 1
-    key = mix(range_hash(prefix_sums(w.hash), np.concatenate(([0], to[:-1])), to), 3)
+    key = sequence_hash(w.hash, np.concatenate(([0], to)), 3)
     text = np.searchsorted(w.first, to - 1, "right") - 1
     order = np.lexsort((key, text))
     text, key = text[order], key[order]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._superkmers import numbered
-from ._text import CHUNK, LOWER, SPACED, Words, chunks, flat, mix, packed, partitions, prefix_sums, range_hash, shared_dir, spread, windows
+from ._text import CHUNK, LOWER, SPACED, Words, chunks, flat, gram_hash, mix, packed, partitions, sequence_hash, shared_dir, spread, windows
 
 #: Cells in which documents of shingles are counted, a bounded array that is broadcast, and its slices.
 COUNTED, SLICES = 1 << 22, 64
@@ -41,11 +41,11 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash) of the distinct shingles of each text, sorted, and the size of each set."""
     w = Words(LOWER[data], off, SPACED)
-    sums = prefix_sums(w.hash)
     at, many = windows(w.first, n)
     short = np.flatnonzero((w.count > 0) & (w.count < n))
+    few = w.count[short]
     text = np.concatenate((np.repeat(np.arange(len(many)), many), short))
-    hashes = np.concatenate((mix(range_hash(sums, at, at + n), 7), mix(range_hash(sums, w.first[short], w.first[short + 1]) + w.count[short].astype(np.uint64), 8)))
+    hashes = np.concatenate((gram_hash(w.hash, n, 7)[at], sequence_hash(w.hash[spread(w.first[short], few)], np.concatenate(([0], np.cumsum(few))), 8)))
     order = np.lexsort((hashes, text))
     text, hashes = text[order], hashes[order]
     new = np.ones(len(order), bool)

@@ -11,20 +11,22 @@ powers of two so that it needs no padding.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SPACED, chunks, keep, prefix_sums, range_hash, shared_dir, spread
+from ._text import SPACED, block_hash, chunks, keep, shared_dir, spread
 
-#: Distinct parts of texts whose ids a worker remembers.
-MEMO = 2_000_000
+#: Distinct parts of texts, and bytes of these, that a worker remembers; then it begins anew.
+MEMO, MEMO_BYTES = 1 << 18, 4 << 20
 _WHITE = ~SPACED
 
 PIECES = pa.schema([
@@ -38,36 +40,46 @@ class Encoder:
 
     A byte-level BPE never merges across the place before a space that follows a non-space, so texts
     are cut there into parts.  The ids of parts seen before are looked up by hash, all of a chunk at
-    once; the unknown parts are encoded as one joined text and told apart by their lengths in bytes.
-    Texts with white space beyond ASCII are encoded whole.  ``tokenizers`` itself is used where no rank
-    file of the same vocabulary lies beside the given one.
+    once, and their bytes are compared; the unknown parts are encoded as one joined text and told apart by
+    their lengths in bytes.  Texts with white space beyond ASCII are encoded whole, and by ``tokenizers`` itself
+    those with one of the file's added tokens, or all where no rank file of the same vocabulary lies beside it.
     """
 
     def __init__(self, path: str):
-        self.width = None
+        self.path, self.width, self.exact = path, None, None
+        added = json.loads(Path(path).read_bytes()).get("added_tokens", ())
+        self.added = [t["content"].encode() for t in added]
         try:
             import public_tokenizers
             import tiktoken
 
             with open(re.sub(r"\.json$", ".tiktoken", path), "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.whole = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self.width = np.zeros(max(ranks.values()) + 1, np.int64)
             self.width[list(ranks.values())] = [len(x) for x in ranks]
         except FileNotFoundError:
+            pass
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key = np.zeros(0, np.uint64)  # sorted hashes of known parts; places and numbers of their ids and bytes
+        self.at, self.n, self.seen, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of one text by ``tokenizers``."""
+        if self.exact is None:
             from tokenizers import Tokenizer
 
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            self.whole = lambda text: t.encode(text, add_special_tokens=False).ids
-        self.key = np.zeros(0, np.uint64)  # sorted hashes of known parts, and their places in pool
-        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+            self.exact = Tokenizer.from_file(self.path)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
     def many(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a chunk."""
+        raw = data.tobytes()
         if self.width is None:
-            return [np.array(self.whole(data[a:b].tobytes().decode()), "<u4") for a, b in zip(off[:-1], off[1:], strict=True)]
+            return [self.whole(raw[a:b].decode()) for a, b in zip(off[:-1], off[1:], strict=True)]
         space = _WHITE[data]
         begin = np.zeros(len(data), bool)
         begin[1:] = (data[1:] == 32) & ~space[:-1]
@@ -76,49 +88,87 @@ class Encoder:
         end = np.append(start[1:], len(data))
         if not len(start):
             return [np.zeros(0, "<u4")] * (len(off) - 1)
-        part = range_hash(prefix_sums(data.astype(np.uint64) + np.uint64(1)), start, end)
-        unique, one, which = np.unique(part, return_index=True, return_inverse=True)
+        unique, one, which = np.unique(block_hash(data, start, end), return_index=True, return_inverse=True)
+        # Equal hashes are not enough: parts that differ from the first one of their hash count as parts of their own.
+        same = self._equal(data, start, end - start, data, start[one][which], (end - start)[one][which])
+        if not same.all():
+            odd = np.flatnonzero(~same)
+            which[odd] = len(one) + np.arange(len(odd))
+            unique, one = np.concatenate((unique, np.zeros(len(odd), np.uint64))), np.concatenate((one, odd))
         where = np.searchsorted(self.key, unique)
+        near = np.minimum(where, max(len(self.key) - 1, 0))
         known = np.zeros(len(unique), bool)
-        inside = where < len(self.key)
-        known[inside] = self.key[where[inside]] == unique[inside]
-        at, n, kept = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64), self.used
-        at[known], n[known] = self.at[where[known]], self.n[where[known]]
+        if len(self.key):
+            known = self.key[near] == unique
+            hit = np.flatnonzero(known)
+            known[hit] = self._equal(data, start[one[hit]], (end - start)[one[hit]], self.raw, self.seen[near[hit]], self.size[near[hit]])
         new = np.flatnonzero(~known)
-        at[new], n[new] = self._encode(data, space, start[one[new]], end[one[new]])
-        ids = self.pool[spread(at[which], n[which])].astype("<u4")
+        fresh, n_new = self._encode(data, raw, space, start[one[new]], end[one[new]])
+        at, n = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        at[known], n[known] = self.at[near[known]], self.n[near[known]]
+        at[new], n[new] = len(self.ids) + np.cumsum(n_new) - n_new, n_new
+        pool = np.concatenate((self.ids, fresh))
+        ids = pool[spread(at[which], n[which])].astype("<u4")
         last = np.concatenate(([0], np.cumsum(n[which])))[np.searchsorted(start, off)]
-        if len(self.key) + len(new) <= MEMO:
-            order = np.argsort(np.concatenate((self.key, unique[new])), kind="stable")
-            self.key, self.at, self.n = (np.concatenate(x)[order] for x in ((self.key, unique[new]), (self.at, at[new]), (self.n, n[new])))
-        else:
-            self.used = kept
+        self._remember(unique, where, new, at, n, pool, data, start[one], end[one])
         out = [ids[a:b] for a, b in zip(last[:-1], last[1:], strict=True)]
         for i in self._wide(data, off):
-            out[i] = np.array(self.whole(data[off[i] : off[i + 1]].tobytes().decode()), "<u4")
+            out[i] = np.array(self.fast(raw[off[i] : off[i + 1]].decode()), "<u4")
+        for i in self._special(raw, off):
+            out[i] = self.whole(raw[off[i] : off[i + 1]].decode())
         return out
 
-    def _encode(self, data: np.ndarray, space: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Append the ids of new parts to the pool: their places and numbers."""
-        at, n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    @staticmethod
+    def _equal(data: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which ranges of two byte arrays are equal."""
+        same = n == size
+        sel = np.flatnonzero(same & (n > 0))
+        if len(sel):
+            differ = data[spread(at[sel], n[sel])] != other[spread(place[sel], n[sel])]
+            same[sel] = ~np.logical_or.reduceat(differ, np.cumsum(n[sel]) - n[sel])
+        return same
+
+    def _remember(self, unique, where, new, at, n, pool, data, start, end) -> None:
+        """Keep the new parts, but those that share a known part's hash or are long."""
+        if len(self.key) + len(new) > MEMO or len(self.raw) > MEMO_BYTES:
+            return self._forget()
+        short = (unique[new] != 0) & (end[new] - start[new] < 64)
+        if len(self.key):
+            short &= self.key[np.minimum(where[new], len(self.key) - 1)] != unique[new]
+        new = new[short]
+        size = end[new] - start[new]
+        seen = len(self.raw) + np.cumsum(size) - size
+        columns = ((self.key, unique[new]), (self.at, at[new]), (self.n, n[new]), (self.seen, seen), (self.size, size))
+        self.key, self.at, self.n, self.seen, self.size = (np.insert(old, where[new], add) for old, add in columns)
+        self.raw, self.ids = np.concatenate((self.raw, data[spread(start[new], size)])), pool
+
+    def _encode(self, data: np.ndarray, raw: bytes, space: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some parts, end to end, and the number of each part's."""
+        n = np.zeros(len(start), np.int64)
         joins = (data[start] == 32) & ~space[end - 1]
-        raw = data.tobytes()
-        ids = np.array(self.whole(b"".join([raw[a:b] for a, b in zip(start[joins].tolist(), end[joins].tolist(), strict=True)]).decode()), np.uint32)
+        ids = np.array(self.fast(b"".join([raw[a:b] for a, b in zip(start[joins].tolist(), end[joins].tolist(), strict=True)]).decode()), np.uint32)
         to = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum((end - start)[joins])) + 1
         n[joins] = np.diff(to, prepend=0)
-        at[joins] = self.used + to - n[joins]
-        self._append(ids)
-        for i in np.flatnonzero(~joins):
-            ids = np.array(self.whole(raw[start[i] : end[i]].decode()), np.uint32)
-            at[i], n[i] = self.used, len(ids)
-            self._append(ids)
-        return at, n
-
-    def _append(self, ids: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        alone = {i: np.array(self.fast(raw[start[i] : end[i]].decode()), np.uint32) for i in np.flatnonzero(~joins).tolist()}
+        for i, x in alone.items():
+            n[i] = len(x)
+        out, first = np.zeros(int(n.sum()), np.uint32), np.cumsum(n) - n
+        out[spread(first[joins], n[joins])] = ids
+        for i, x in alone.items():
+            out[first[i] : first[i] + len(x)] = x
+        return out, n
+
+    def _special(self, raw: bytes, off: np.ndarray) -> list[int]:
+        """Texts that hold an added token of the file."""
+        found = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right")) - 1
+                if at + len(token) <= off[i + 1]:
+                    found.add(i)
+                at = raw.find(token, at + 1)
+        return sorted(found)
 
     @staticmethod
     def _wide(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -131,7 +181,7 @@ class Encoder:
         return np.unique(np.searchsorted(off, lead[odd], "right") - 1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

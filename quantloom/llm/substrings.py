@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._superkmers import Blob, Items, bucket_count, combine, dealt, hot_minimisers, numbered, spans_of, unpack
-from ._text import SPACED, Words, covered, packed, partitions, prefix_sums, range_hash, unpacked
+from ._text import SPACED, Words, covered, gram_hash, packed, partitions, sequence_hash, unpacked
 
 #: Words of a minimiser; few, so that runs of windows are long and less is sent twice.
 M_WORDS = 5
@@ -30,9 +30,8 @@ def repeated_windows(blob: Blob, k: int) -> tuple[np.ndarray, np.ndarray, np.nda
     whole.  For that key, equal windows of different strings are brought together by sorting.
     """
     hashes, first, _, _ = word_items(blob.data, blob.off)
-    one, two = prefix_sums(hashes), prefix_sums(hashes, 1)
     a, b = first[:-1], first[1:]
-    pick, kind = combine(blob, range_hash(one, a, b), range_hash(two, a, b, 1))
+    pick, kind = combine(blob, sequence_hash(hashes, first), sequence_hash(hashes, first, 9))
     least = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(least, kind, blob.key)
     whole = blob.key > least[kind]
@@ -42,7 +41,7 @@ def repeated_windows(blob: Blob, k: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = np.maximum(length - k + 1, 0)
     at = np.repeat(a[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     owner = np.repeat(np.arange(len(pick)), n)
-    h1, h2 = range_hash(one, at, at + k), range_hash(two, at, at + k, 1)
+    h1, h2 = gram_hash(hashes, k)[at], gram_hash(hashes, k, 9)[at]
     order = np.lexsort((h2, h1))
     x, y = h1[order], h2[order]
     new = np.ones(len(order), bool)

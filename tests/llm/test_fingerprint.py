@@ -52,3 +52,10 @@ def test_differences_are_exact():
     assert took[0] == fingerprint.CELLS and took[-1] > fingerprint.CELLS
     want = [len(x & y) / len(x | y) if x | y else 1.0 for x, y in zip(own, other)]
     assert np.allclose(fingerprint.likeness(pack(own), pack(other)), want)
+
+
+def test_recursive_patterns_differ(spark):
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = [sep.join("ab"[b ^ x] for b in bits) for sep in ("", " ") for x in (0, 1)]
+    got = fingerprint.versions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len({r.fingerprint for r in got.collect()}) == 4
