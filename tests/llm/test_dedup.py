@@ -38,8 +38,7 @@ def test_words_match_brute_force(spark, sf, real, mixed):
 
 
 def test_bytes_match_brute_force(spark, sf, real, mixed):
-    small = real.where("length(text) < 3000")
-    for df in (small, mixed):
+    for df in (real, mixed):
         got = runindex.drop_repeated_bytes(df)
         assert rows(got.drop("kept")) == sorted(brute.repeated_bytes(texts(df)), key=repr)
         assert {r.doc_id: len(r.kept) for r in got.collect()} == {r.doc_id: r.n_bytes - r.n_removed for r in got.collect()}
@@ -82,13 +81,12 @@ def test_odd_rows(spark, odd, empty, clash):
     # Equal rows count as one, so they are taken once by the plain versions.
     once = list(dict.fromkeys(texts(odd)))
     for got, want in (
-        (substrings.drop_repeated_words(odd), brute.substring(once)), (runindex.drop_repeated_bytes(odd), None),
+        (substrings.drop_repeated_words(odd), brute.substring(once)), (runindex.drop_repeated_bytes(odd), brute.repeated_bytes(once)),
         (ngram_join.classes(odd, 4, 85), brute.classes(once)),
     ):
         assert got.count() == 9
-        if want is not None:
-            width = len(want[0])
-            assert {tuple(r)[:width] for r in got.collect()} == {r[:width] for r in want}
+        width = len(want[0])
+        assert {tuple(r)[:width] for r in got.collect()} == {r[:width] for r in want}
     for f in (substrings.drop_repeated_words, runindex.drop_repeated_bytes, ngram_join.classes):
         assert f(empty).count() == 0 and rows(f(clash)) == rows(f(odd))
     nulls = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (1, "z")], "doc_id long, text string")
@@ -105,23 +103,39 @@ def test_components(spark):
 
 
 def test_run_length_index():
+    """Matching statistics from the samples at run ends against sorted suffixes."""
     rng = np.random.default_rng(1)
-    parts = [rng.integers(97, 99, n).astype(np.uint8) for n in (40, 1, 7, 60, 40)] + [np.full(30, 97, np.uint8)]
-    data, off = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    index = runindex.RunLengthIndex(data, off)
-    raw = [index.text[i : index.end_of[i]].tobytes() for i in index.order]
-    assert all(index.end_of[i] == i for i in index.order[:6]) and len(index.begin) < index.size
-    keys = [(tuple(index.text[i : index.end_of[i]]) + (0,), index.end_of[i]) for i in index.order]
-    assert keys == sorted(keys) and raw
-    for at, row in index.stream():
-        assert (index.order[row] == at).all()
-    k, first = 6, index.earliest(6)
-    seen = {}
-    for i in range(index.size):
-        if i + k <= index.end_of[i]:
-            assert first[i] == seen.setdefault(index.text[i : i + k].tobytes(), i)
-        else:
-            assert first[i] == -1
+    for trial in range(60):
+        parts = [rng.integers(97, 97 + rng.integers(1, 4), n).astype(np.uint8) for n in rng.integers(1, 40, rng.integers(1, 8))]
+        parts += parts[:1] * (trial % 3)
+        data, off = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        index = runindex.RunLengthIndex(data, off)
+        suffixes = sorted((tuple(p[j:] + 1000) + (i,), index.begin_at[i] + j) for i, p in enumerate([x.astype(int) for x in parts]) for j in range(len(p) + 1))
+        want = {suffixes[0][1]: (-1, 0)}
+        for (x, a), (y, b) in zip(suffixes, suffixes[1:]):
+            shared = next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), 0)
+            want[b] = (a, shared)
+        got = {a: (b, n) for block in index.stream() for a, b, n in zip(*(x.tolist() for x in block))}
+        assert got == want and len(index.place) <= index.size
+        for k in (1, 3, 6):
+            seen, first = {}, index.earliest(k)
+            for i in range(index.size):
+                end = index.mark[np.searchsorted(index.mark, i)]
+                s = int(np.searchsorted(index.mark, i))
+                word = data[i - s : i - s + k].tobytes() if i + k <= end else i
+                assert first[i] == seen.setdefault(word, i)
+
+
+def test_recursive_patterns_do_not_collide(spark):
+    """A text by the rule of Thue and Morse and its complement: sums of powers modulo 2^64 cannot tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, two = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    docs = [(1, one), (2, two), (3, " ".join(one)), (4, " ".join(two)), (5, " ".join(one) + " z"), (6, "c " + " ".join(two))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(ngram_join.classes(df, 4, 85).select("doc_id", "n_shingles", "component_id")) == sorted(brute.classes(docs, 4, 85), key=repr)
+    assert rows(ngram_join.classes(df.where("doc_id < 3"), 5000, 85).select("component_id").distinct()) == [(1,), (2,)]
+    assert rows(substrings.drop_repeated_words(df).drop("kept")) == sorted(brute.substring(docs), key=repr)
+    assert rows(runindex.drop_repeated_bytes(df).drop("kept")) == sorted(brute.repeated_bytes(docs), key=repr)
 
 
 def test_sharding(spark, sf, real, odd, empty, clash):
