@@ -57,6 +57,39 @@ def test_odd_rows(spark, odd, empty, clash):
     assert best[0].longest_words == 15 and best[0].longest_item == "11" and best[0].longest_word == 7
 
 
+def test_blocks_of_test_items(spark, sf, real, odd, monkeypatch):
+    """Test sets of several blocks give the same, for repeated rows too."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = real.unionByName(odd).unionByName(odd)
+    want, left = rows(decontaminate.judge(docs, bench).drop("longest_item", "longest_item_word")), rows(decontaminate.clean(docs, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK", 10_000)
+    got = decontaminate.judge(docs, bench)
+    assert rows(got.drop("longest_item", "longest_item_word", "longest_word")) == rows(spark.createDataFrame(want, decontaminate.judge(docs, bench).drop("longest_item", "longest_item_word").schema).drop("longest_word"))
+    assert rows(decontaminate.clean(docs, bench)) == left
+
+
+def test_longest_matches():
+    """Every suffix of every item is searched: matches of any length against all pairs of places."""
+    import pyarrow as pa
+
+    from quantloom.llm._text import flat
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        kinds = rng.integers(2, 5)
+        own, items = ([[f"w{x}" for x in rng.integers(0, kinds, n)] for n in rng.integers(0, most, many)] for most, many in ((30, 6), (12, 4)))
+        tests = decontaminate.Tests(list(range(4)), [" ".join(x) for x in items], 5)
+        m = decontaminate.Matches(*flat(pa.array([" ".join(x) for x in own])), tests)
+        for i, text in enumerate(own):
+            common = lambda a, b: next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            best = max((common(text[p:], it[q:]) for it in items for p in range(len(text)) for q in range(len(it))), default=0)
+            assert m.best[0][i] == best
+            if best:
+                item = int(tests.item[m.best[1][i]])
+                q, p = m.best[1][i] - tests.first[item], m.best[2][i] - m.words.first[i]
+                assert items[item][q : q + best] == text[p : p + best]
+
+
 def test_suffix_array_sorts():
     rng = np.random.default_rng(0)
     for _ in range(20):
