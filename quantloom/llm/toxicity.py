@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, LOWER, Words, block_hash, checkpointed, chunks, keep, mix, partitions, spread
+from ._text import ALNUM, LOWER, Words, block_hash, checkpointed, chunks, keep, mix, spread
 
 #: Labelled rows, and bytes of their texts, that the model is fitted on at most: an even sample by a hash of the id.
 FIT_ROWS, FIT_BYTES = 20_000, 64 << 20
@@ -180,18 +180,17 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, size: int) -> DataFra
     """(text, label, fold) of at most ``rows`` labelled documents and ``size`` bytes of text, in the order of a hash
     of the id."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # A bounded side: at most ``rows`` ids.
-    train = keep(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    train = train.select(F.coalesce("text", F.lit("")).alias("text"), "label", F.xxhash64("doc_id").alias("place"), "doc_id")
-    train = checkpointed(train.orderBy("place", "doc_id").limit(rows).repartition(partitions(docs.sparkSession), "place"))
-    sizes = train.select("place", "doc_id", F.octet_length("text").alias("size"))
-    # One partition of at most ``rows`` numbers.
+    place = F.xxhash64("doc_id").alias("place")
+    chosen = known.select("doc_id", F.col("label").cast("int").alias("label"), place).orderBy("place", "doc_id").limit(rows)
+    docs = keep(docs, "doc_id", "text")
+    # Only ids and sizes, ``rows`` of them at most (and their repeats' sums), come together to find the last one.
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size")).join(F.broadcast(chosen), "doc_id")
     total = sizes.withColumn("total", F.sum("size").over(Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
     last = total.where(F.col("total") > size).agg(F.min("place")).first()[0]
     if last is not None:
-        train = train.where(F.col("place") < last)
-    return train.select("text", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("fold"))
+        chosen = chosen.where(F.col("place") < last)
+    train = docs.join(F.broadcast(chosen), "doc_id")
+    return checkpointed(train.select(F.coalesce("text", F.lit("")).alias("text"), "label", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("fold")))
 
 
 def _counted(train: DataFrame) -> pa.Table:
