@@ -28,7 +28,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(_read(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.classes(_read(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Shingles are ordered by document frequency, rarest first, as counted in hashed cells over all texts; ties
 go by hash.  Two sets that are similar share one of their first shingles, so
-only these are joined.  Candidates must pass filters on the lengths, on the positions of the shared
-shingle, and on what hash counts of both sets bound (the suffix filter); each pair is verified once on
-the whole texts.
+only these are joined.  Candidates must pass filters on the lengths, on the positions of their first shared
+shingle, and on the suffixes behind it: these are parted into classes by hash, and the sizes of the classes bound how
+much both can share.  Each pair that is left is verified once, by bounds from hash counts of the whole sets and then
+on the whole texts.
 
 Groups of copies do not yield all their pairs: equal sets are linked by their digest; in a first round
 only the members of a shared shingle and its first and last documents are verified; in the second round only pairs
-that the links so far do not connect.  So no link between components is lost.  All links lie within components, so
+that were not verified yet and that the links so far do not connect.  So no link between components is lost.  All links lie within components, so
 their numbers are counted there: each two different sets of a component are compared once, in tiles of two blocks.
 """
 
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._superkmers import numbered
-from ._text import CHUNK, LOWER, SPACED, Words, chunks, flat, gram_hash, mix, packed, partitions, sequence_hash, shared_dir, spread, windows
+from ._text import CHUNK, LOWER, SPACED, Words, chunks, discard, flat, gram_hash, mix, packed, partitions, sequence_hash, shared_dir, spread, windows
 
 #: Cells in which documents of shingles are counted, a bounded array that is broadcast, and its slices.
 COUNTED, SLICES = 1 << 22, 64
-#: Cells of the hash counts of the suffix filter.
-CELLS = 32
+#: Cells of the hash counts of whole sets, and classes of the suffixes.
+CELLS, PARTED = 32, 4
 #: Prefix entries that a task gathers before it sends them.
 FLUSH = 500_000
 #: One in so many shingles takes part in the first round.
@@ -71,6 +72,12 @@ class Rule:
         """Length filter, and positional filter at the first shared shingle."""
         return (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)) & (1 + np.minimum(a - pos_a, b - pos_b) - 1 >= self.need(a, b))
 
+    def suffixes(self, a, pos_a, parts_a, b, pos_b, parts_b) -> np.ndarray:
+        """Suffix filter at the first shared shingle: shingles behind it that only one set has are as many at least as
+        the classes of both suffixes differ by, and as many at most as the needed ones leave."""
+        differ = sum(np.abs(x - y) for x, y in zip(parts_a, parts_b, strict=True))
+        return differ <= (a - pos_a - 1) + (b - pos_b - 1) - 2 * (self.need(a, b) - 1)
+
 
 def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     """Of each text its set's size, digest and hash counts (kind 0), and of each task the numbers of documents in
@@ -118,8 +125,22 @@ def _counts(stored: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+_ENTRY = (np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.int32, *[np.int32] * PARTED)
+_CLASSES = [f"c{i}" for i in range(PARTED)]
+
+
+def _distinct_sets(h, one, two, key, n, *more) -> tuple[np.ndarray, ...]:
+    """Entries sorted by shingle; of equal sets with one shingle that of the least key."""
+    order = np.lexsort((key, n, two, one, h))
+    h, one, two, key, n, *more = (x[order] for x in (h, one, two, key, n, *more))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (n[1:] != n[:-1])
+    return tuple(x[new] for x in (h, one, two, key, n, *more))
+
+
 def _entries(docs: DataFrame, rule: Rule, counts: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, blob) of the prefix entries: shingle, digest of the set, key, size, position."""
+    """(bucket, blob) of the prefix entries: shingle, both digests of the set, key, size, position, and the classes'
+    sizes of the suffix behind it."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +151,17 @@ def _entries(docs: DataFrame, rule: Rule, counts: np.ndarray, buckets: int) -> D
             text, h, n = shingles(data, off, rule.n)
             order = np.lexsort((h, counts[(h >> np.uint64(40)).astype(np.int64) % COUNTED], text))
             h = h[order]
-            digest = _sum_by(mix(h, 31), n)
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            sel = pos < np.repeat(rule.prefix(n), n)
+            one, two = (_sum_by(mix(h, s), n) for s in (31, 32))
+            end = np.repeat(np.cumsum(n), n)
+            pos = np.arange(len(h)) - end + np.repeat(n, n)
+            sel = np.flatnonzero(pos < np.repeat(rule.prefix(n), n))
             own = text[sel]
             keys = part.column(0).to_numpy(zero_copy_only=False)
-            held.append((h[sel], digest[own] >> np.uint64(16), keys[own], n[own], pos[sel]))
+            behind = []
+            for c in range(PARTED):
+                total = np.concatenate(([0], np.cumsum((h >> np.uint64(8)) % np.uint64(PARTED) == c)))
+                behind.append(total[end[sel]] - total[sel + 1])
+            held.append((h[sel], one[own], two[own], keys[own], n[own], pos[sel], *behind))
             size += len(own)
             if size > FLUSH:
                 yield flush(held)
@@ -144,18 +170,15 @@ def _entries(docs: DataFrame, rule: Rule, counts: np.ndarray, buckets: int) -> D
             yield flush(held)
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        h, digest, key, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = (mix(h, 5) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((key, digest, h, bucket))
-        bucket, h, digest, key, n, pos = (x[order] for x in (bucket, h, digest, key, n, pos))
-        new = np.ones(len(h), bool)  # of equal sets the least key goes
-        new[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (n[1:] != n[:-1])
-        bucket, h, digest, key, n, pos = (x[new] for x in (bucket, h, digest, key, n, pos))
+        columns = _distinct_sets(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        bucket = (mix(columns[0], 5) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [x[order] for x in columns]
         edge = np.flatnonzero(np.diff(bucket, prepend=-1))
         out = []
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True):
-            columns = (np.diff(h[a:b], prepend=np.uint64(0)), (digest[a:b] & np.uint64(0xFFFF)).astype(np.uint16), (digest[a:b] >> np.uint64(16)).astype(np.uint32), key[a:b], n[a:b].astype(np.int32), pos[a:b].astype(np.int32))
-            out.append(zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(b - a).tobytes(), *(c.tobytes() for c in columns)])))
+            own = [np.diff(columns[0][a:b], prepend=np.uint64(0)), *(x[a:b] for x in columns[1:])]
+            out.append(zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(b - a).tobytes(), *(x.astype(t).tobytes() for x, t in zip(own, _ENTRY, strict=True))])))
         return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     return docs.select("key", "text").mapInArrow(run, "bucket int, blob binary")
@@ -166,30 +189,25 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         count, at, columns = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-        for kind in (np.uint64, np.uint16, np.uint32, np.int64, np.int32, np.int32):
+        for kind in _ENTRY:
             columns.append(np.frombuffer(raw, kind, count, at))
             at += columns[-1].nbytes
-        h, low, high, *rest = columns
-        out.append((np.cumsum(h, dtype=np.uint64), high.astype(np.uint64) << np.uint64(16) | low, *rest))
+        out.append((np.cumsum(columns[0], dtype=np.uint64), *columns[1:]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of shingles that several different sets have in their prefix: (h, key, n, pos)."""
+    """Entries of shingles that several different sets have in their prefix: (h, key, n, pos, classes)."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, digest, key, n, pos = _unpack([x.as_py() for x in table.column("blob")])
-        order = np.lexsort((key, n, digest, h))
-        h, digest, key, n, pos = (x[order] for x in (h, digest, key, n, pos))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (n[1:] != n[:-1])
-        h, key, n, pos = (x[new] for x in (h, key, n, pos))
+        h, _, _, *rest = _distinct_sets(*_unpack([x.as_py() for x in table.column("blob")]))
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
-        alone = first & np.append(first[1:], True)
-        return pa.table({"h": h[~alone].view(np.int64), "key": key[~alone], "n": n[~alone].astype(np.int64), "pos": pos[~alone].astype(np.int64)})
+        many = ~(first & np.append(first[1:], True))
+        return pa.table([pa.array(h[many].view(np.int64)), *(pa.array(x[many].astype(np.int64)) for x in rest)], names=["h", "key", "n", "pos", *_CLASSES])
 
-    return entries.repartition(partitions(entries.sparkSession), "bucket").groupBy("bucket").applyInArrow(run, "h long, key long, n long, pos long")
+    schema = ", ".join(f"{c} long" for c in ("h", "key", "n", "pos", *_CLASSES))
+    return entries.repartition(partitions(entries.sparkSession), "bucket").groupBy("bucket").applyInArrow(run, schema)
 
 
 def _stars(members: DataFrame, rule: Rule) -> DataFrame:
@@ -203,17 +221,17 @@ def _stars(members: DataFrame, rule: Rule) -> DataFrame:
     return near.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
-def _crossing(members: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of one shingle that pass the filters and that no link connects so far."""
-    named = members.join(labels, "key", "left").select("h", "key", "n", "pos", F.coalesce("label", "key").alias("label"))
+def _crossing(members: DataFrame, labels: DataFrame, tried: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of one shingle that pass the filters, that no link connects so far, and that were not ``tried`` yet."""
+    named = members.join(labels, "key", "left").select("h", "key", "n", "pos", *_CLASSES, F.coalesce("label", "key").alias("label"))
     mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
 
     def run(table: pa.Table) -> pa.Table:
         """Many shingles at once.  Documents outside the largest class of their shingle meet all of its documents,
         in blocks of bounded size."""
-        h, n, key, pos, label = (table.column(c).to_numpy() for c in ("h", "n", "key", "pos", "label"))
+        h, n, key, pos, label, *parts = (table.column(c).to_numpy() for c in ("h", "n", "key", "pos", "label", *_CLASSES))
         order = np.lexsort((label, h))
-        h, n, key, pos, label = (x[order] for x in (h, n, key, pos, label))
+        h, n, key, pos, label, *parts = (x[order] for x in (h, n, key, pos, label, *parts))
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         part = new.copy()
@@ -232,13 +250,16 @@ def _crossing(members: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
             i = rest[x:y]
             one, other = np.repeat(i, size[group[i]]), spread(first[group[i]], size[group[i]])
             ok = (label[one] != label[other]) & rule.may(n[one], pos[one], n[other], pos[other])
+            one, other = one[ok], other[ok]
+            ok = rule.suffixes(n[one], pos[one], [x[one] for x in parts], n[other], pos[other], [x[other] for x in parts])
             one, other = key[one[ok]], key[other[ok]]
             out.append(np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)]), axis=1))
         a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.table({"a": a, "b": b})
 
     bucket = F.pmod(F.xxhash64("h"), F.lit(4 * partitions(members.sparkSession)))
-    return named.join(mixed, "h").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    found = named.join(mixed, "h").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return found.join(tried, ["a", "b"], "left_anti")
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -385,20 +406,28 @@ def _classes(docs: DataFrame, n: int, percent: int, count: bool = False) -> Data
     packed(docs.select("key", "text")).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "packed").write.option("compression", "none").parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
 
-    sets = profiles.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("v"), F.countDistinct("key").alias("many") if count else F.lit(1).alias("many"))
-    equal = profiles.where("n > 0").join(sets, ["one", "two", "n"]).where("key != v").select(F.col("key").alias("u"), "v")
-    _verified(_stars(members, rule), profiles, texts, rule).write.parquet(f"{folder}/links/1")
+    # Written, so that joins of the many copies of one set read tables on both sides and can be split where they are skewed.
+    profiles.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("v"), F.countDistinct("key").alias("many")).write.parquet(f"{folder}/sets")
+    sets = spark.read.parquet(f"{folder}/sets")
+    equal = profiles.select("one", "two", "n", "key").join(sets.where("many > 1"), ["one", "two", "n"]).where("key != v").select(F.col("key").alias("u"), "v")
+    _stars(members, rule).write.parquet(f"{folder}/tried")
+    tried = spark.read.schema("a long, b long").parquet(f"{folder}/tried")
+    _verified(tried, profiles, texts, rule).write.parquet(f"{folder}/links/1")
     links = spark.read.schema("u long, v long").parquet(f"{folder}/links/1").unionByName(equal)
     labels = components(links)
-    _verified(_crossing(members, labels, rule), profiles, texts, rule).write.parquet(f"{folder}/links/2")
+    _verified(_crossing(members, labels, tried, rule), profiles, texts, rule).write.parquet(f"{folder}/links/2")
     more = spark.read.schema("u long, v long").parquet(f"{folder}/links/2")
     if not more.isEmpty():
         # Labels stand for their links, so only the new links are added to them.
         labels = components(labels.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(more))
     found = profiles.join(labels, "key", "left").withColumn("component", F.coalesce("label", "key")).withColumnRenamed("n", "n_shingles")
+    done = [f"{folder}/{x}" for x in ("members", "tried", "links")]
     if not count:
+        discard(spark, *done, f"{folder}/texts")
         return found.select("key", "doc_id", "n_shingles", "component")
-    _numbers(_tiles(sets, labels, texts), rule).write.parquet(f"{folder}/numbers")
+    _numbers(_tiles(sets.drop("one", "two"), labels, texts), rule).write.parquet(f"{folder}/numbers")
+    discard(spark, *done, f"{folder}/texts")
     numbers = spark.read.schema("v long, others long").parquet(f"{folder}/numbers")
     degree = sets.join(numbers, "v", "left").select("one", "two", F.col("n").alias("n_shingles"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links"))
-    return found.join(degree, ["one", "two", "n_shingles"], "left").select("key", "doc_id", "n_shingles", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree.write.parquet(f"{folder}/degree")
+    return found.join(spark.read.parquet(f"{folder}/degree"), ["one", "two", "n_shingles"], "left").select("key", "doc_id", "n_shingles", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))

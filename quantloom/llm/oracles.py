@@ -22,8 +22,10 @@ sh AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS s FROM (S
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
-reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, link.b FROM reach JOIN link ON link.a = reach.r)
-SELECT d AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d""",
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, link.b FROM reach JOIN link ON link.a = reach.r),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT d AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, CAST(coalesce(any_value(degree.n), 0) AS BIGINT) AS n_links
+FROM reach LEFT JOIN n ON n.doc_id = d LEFT JOIN degree ON degree.a = d GROUP BY d""",
     "op5_sharding": f"""
 WITH r AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT doc_id, n, h, d, sum(n) OVER (PARTITION BY d, h >> (60 - d)) AS total FROM r, range(25) x(d)),
