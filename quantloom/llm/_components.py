@@ -24,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(key, label) of every node of ``edges`` (u, v): the least node that its links reach.  Nodes without
-    links to others are not listed.  Each round is checkpointed; rounds grow with the logarithm of the size."""
+    links to others are not listed, links with a null end are none, and repeats count once.  Each round is checkpointed; rounds grow with the logarithm of the size."""
     edges = checkpointed(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:

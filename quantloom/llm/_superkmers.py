@@ -221,7 +221,7 @@ def numbered(docs: DataFrame, *more: str) -> tuple[DataFrame, bool]:
     """(key, doc_id, text, and the columns of ``more``) with a key that orders like doc_id (null last) and
     tells texts of one id apart, and whether the key is the id.
 
-    That is so where ids are unique and not null.  Else distinct (id, text) pairs are numbered in order,
+    That is so where ids are unique and not null.  Else distinct (id, text) pairs get increasing numbers in order,
     so equal rows share a key.
     """
     docs = docs.select("doc_id", "text", *more)
@@ -230,8 +230,8 @@ def numbered(docs: DataFrame, *more: str) -> tuple[DataFrame, bool]:
         return docs.select(F.col("doc_id").alias("key"), "doc_id", "text", *more), True
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     pairs = docs.select("doc_id", digest.alias("digest")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "digest")
-    named = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("own_id long, own_digest string, key long")
-    named = checkpointed(named)
+    # Increasing along the sorted partitions; a table, as numbers must not be dealt twice.
+    named = checkpointed(pairs.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"), F.monotonically_increasing_id().alias("key")))
     found = docs.join(named, F.col("doc_id").eqNullSafe(F.col("own_id")) & (digest == F.col("own_digest")))
     return found.select("key", "doc_id", "text", *more), False
 

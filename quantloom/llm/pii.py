@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from ._text import keep
 
 #: Kinds in the order in which equal starts are listed; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "aba")
+KINDS = ("email", "ip", "card", "phone", "iban", "aba", "ssn", "key", "secret")
 BASE = 4
 
 # Words that make a kind likelier when they stand near a span, by kind.
@@ -24,9 +26,12 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"),
     "iban": ("iban", "bank", "account", "konto", "cuenta", "compte", "bic", "swift"),
     "aba": ("routing", "aba", "bank", "account", "transit", "wire"),
+    "ssn": ("ssn", "social", "security", "taxpayer"),
+    "key": ("key", "token", "secret", "credential", "credentials"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "bearer", "credential", "credentials"),
 }
 # Score of a span that has passed its check, before its context is read.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.9, "aba": 0.2}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.9, "aba": 0.2, "ssn": 0.3, "key": 0.8, "secret": 0.3}
 #: Added to the score for a context word within NEAR characters; an added kind needs LEAST.
 BOOST, NEAR, LEAST = 0.3, 40, 0.5
 
@@ -37,6 +42,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ABA = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{9}(?![0-9A-Za-z-])")
+_SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,512}(?![A-Za-z0-9_+/=-])")
+# How issued access keys begin.
+_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}\Z|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}\Z|gh[opsur]_[A-Za-z0-9]{36,}\Z|xox[abprs]-[A-Za-z0-9-]{10,}\Z|AIza[A-Za-z0-9_-]{35}\Z")
+#: Bits of entropy in each character, from which on a run of letters and digits may be a secret.
+RANDOM = 3.0
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -69,6 +80,19 @@ def routing(digits: str) -> bool:
     return total > 0 and total % 10 == 0
 
 
+def issued(number: str) -> bool:
+    """Whether a social security number of the form 3-2-4 can have been issued."""
+    area, group, serial = number.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def random(run: str) -> bool:
+    """Whether a run holds letters and digits and its characters are spread as those of a random key are."""
+    if run.isalpha() or not any(c.isalpha() for c in run) or not any(c.isdigit() for c in run):
+        return False
+    return -sum(n / len(run) * log2(n / len(run)) for n in Counter(run).values()) >= RANDOM
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """As the one pattern local@domain would match from the left, in linear time: each @ is looked at once."""
     done, at = 0, text.find("@")
@@ -112,8 +136,9 @@ def _score(text: str, start: int, end: int, kind: int) -> float:
 
 
 def find(text: str) -> list[Span]:
-    """All spans of a text by start, then kind.  Base spans stay whatever their score; added kinds
-    (account numbers by mod 97, routing numbers by their checksum and a context word) need LEAST."""
+    """All spans of a text by start, then kind.  Base spans stay whatever their score; added kinds (account numbers by
+    mod 97, routing numbers by their checksum, social security numbers by what can be issued, access keys by their
+    beginning, other secrets by their entropy) need LEAST, so that some count only near a context word."""
     found = [Span(a, b, k, _score(text, a, b, k)) for a, b, k in base_spans(text)]
     for m in _IBAN.finditer(text):
         # The longest head of the proposal that passes counts, since words in capitals may follow.
@@ -125,6 +150,13 @@ def find(text: str) -> list[Span]:
     for m in _ABA.finditer(text):
         if routing(m[0]) and (s := _score(text, m.start(), m.end(), 5)) >= LEAST:
             found.append(Span(m.start(), m.end(), 5, s))
+    for m in _SSN.finditer(text):
+        if issued(m[0]) and (s := _score(text, m.start(), m.end(), 6)) >= LEAST:
+            found.append(Span(m.start(), m.end(), 6, s))
+    for m in _SECRET.finditer(text):
+        kind = 7 if _KEY.match(m[0]) else 8
+        if random(m[0]) and (s := _score(text, m.start(), m.end(), kind)) >= LEAST:
+            found.append(Span(m.start(), m.end(), kind, s))
     return sorted(found)
 
 
@@ -150,18 +182,18 @@ def listing(spans: list[Span]) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document: counts of the base kinds, a digest of the base spans, all spans as text.
+    """Per document: counts of the base kinds, a digest of the base spans, all spans as text and their number.
     Nulls, repeats and empty tables as in ``detect``."""
-    names = ["doc_id", *(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [find(x) if x else [] for x in batch.column(1).to_pylist()]
             counts = [pa.array([sum(s.kind == k for s in row) for row in found], pa.int64()) for k in range(BASE)]
             digest = pa.array([hashlib.sha256(listing([s for s in row if s.kind < BASE]).encode()).hexdigest() for row in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([listing(row) for row in found], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([listing(row) for row in found], pa.string()), pa.array([len(row) for row in found], pa.int64())], names)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return keep(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
