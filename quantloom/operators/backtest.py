@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import TRADING_DAYS, clip, compound, running
+from .cleaning import DIVIDENDS
 from .portfolio import softmax_weights
 
 #: Slippage in basis points where the average daily volume is unknown, and the longest financing step in years.
@@ -46,6 +48,8 @@ class BacktestConfig:
     cash_interest_rate: float = 0.0
     short_gating: bool = False
     financing: bool = False
+    #: Share space values a bar by its own close, as daily accounts do; else by the close that its return leads to.
+    mark_at_close: bool = True
     borrow_rate_annual: float = 0.0
     funding_rate_annual: float = 0.0
 
@@ -95,11 +99,21 @@ def apply_net_cap(w: DataFrame, max_net: float) -> DataFrame:
     return w.withColumn("weight", out)
 
 
-def apply_constraints(w: DataFrame, cfg: BacktestConfig, mask: DataFrame | None = None) -> DataFrame:
-    """Mask, caps, gross, net, in this order."""
+def apply_weight_bounds(w: DataFrame, bounds: DataFrame, cfg: BacktestConfig) -> DataFrame:
+    """Caps of each id (id, min_weight, max_weight); where an id has none, those of the configuration."""
+    default = lambda x, y: F.lit(float(y if x is None else x))
+    low, high = F.coalesce("_low", default(cfg.min_weight, -1e308)), F.coalesce("_high", default(cfg.max_weight, 1e308))
+    own = bounds.select("id", F.col("min_weight").alias("_low"), F.col("max_weight").alias("_high"))
+    return apply_weight_caps(w.join(own, "id", "left"), low, high).select(*w.columns)
+
+
+def apply_constraints(w: DataFrame, cfg: BacktestConfig, mask: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """Mask, caps (by id, or of the configuration), gross, net, in this order."""
     if mask is not None:
         w = apply_universe_mask(w, mask)
-    if cfg.min_weight is not None or cfg.max_weight is not None:
+    if bounds is not None:
+        w = apply_weight_bounds(w, bounds, cfg)
+    elif cfg.min_weight is not None or cfg.max_weight is not None:
         w = apply_weight_caps(w, cfg.min_weight, cfg.max_weight)
     if cfg.max_gross is not None:
         w = apply_gross_cap(w, cfg.max_gross)
@@ -168,13 +182,13 @@ def gross_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestConfig =
     return day.select("date", "port_ret", (cfg.initial_cash * compound("port_ret", running())).alias("nav"))
 
 
-def weight_space_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestConfig = BacktestConfig(), costs: DataFrame | None = None, adv: DataFrame | None = None, mask: DataFrame | None = None) -> BacktestResult:
+def weight_space_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestConfig = BacktestConfig(), costs: DataFrame | None = None, adv: DataFrame | None = None, mask: DataFrame | None = None, bounds: DataFrame | None = None) -> BacktestResult:
     """Value with costs and slippage charged at each rebalance.
 
     Per date the panel reduces to its return, linear cost, and arrays for what is not linear in the value:
     commissions with their minimum and the square-root impact.  One fold over the dates gives the value.
     """
-    held = held_weights(apply_constraints(softmax_weights(signals), cfg, mask), returns, rebalance_axis(returns, cfg)).withColumn("delta", F.when(F.col("rebal"), F.coalesce("target", F.lit(0.0)) - F.col("before")).otherwise(0.0))
+    held = held_weights(apply_constraints(softmax_weights(signals), cfg, mask, bounds), returns, rebalance_axis(returns, cfg)).withColumn("delta", F.when(F.col("rebal"), F.coalesce("target", F.lit(0.0)) - F.col("before")).otherwise(0.0))
     names = ("commission_bps", "half_spread_bps", "exchange_fee_bps", "min_commission", "impact_coef")
     held = held.join(costs.select("date", "id", *names), ["date", "id"], "left") if costs is not None else held.withColumns({n: F.lit(0.0) for n in names})
     held = held.join(adv.select("date", "id", "adv_20"), ["date", "id"], "left") if adv is not None else held.withColumn("adv_20", F.lit(0.0))
@@ -193,8 +207,8 @@ def weight_space_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestC
         lambda s: s["out"],
     )
     path = day.agg(F.array_sort(F.collect_list(F.struct("t", "date", "r", "lin", "root", "c"))).alias("days")).select(F.inline(fold))
-    trades = held.where(F.abs("delta") > 0).join(path.select("date", "start"), "date").select("date", "id", (F.col("delta") * F.col("start")).alias("quantity"))
-    last = held.withColumn("_k", F.max("t").over(Window.partitionBy(F.lit(0)))).where("t = _k").select("id", F.col("held").alias("weight"))
+    trades = held.where("rebal").join(path.select("date", (F.col("start") - F.col("cost")).alias("_v")), "date").select("date", "id", (F.col("delta") * F.col("_v")).alias("quantity"))
+    last = held.join(F.broadcast(held.agg(F.max("t").alias("t"))), "t").select("id", F.col("held").alias("weight"))  # one row
     return BacktestResult(path.select("date", "nav"), trades, last)
 
 
@@ -220,7 +234,7 @@ class _Book:
 
 def simulate(panel: pd.DataFrame, cfg: BacktestConfig, actions: pd.DataFrame | None = None) -> Iterator[tuple[str, pd.DataFrame]]:
     """One strategy over a complete panel (date, id, return in percent, signal, and optional side columns close,
-    tradable, adv_20, cost terms, borrow_rate_bps, shortable, loan_availability), bar by bar.
+    tradable, adv_20, cost terms, min_weight, max_weight, borrow_rate_bps, shortable, loan_availability), bar by bar.
 
     Order within a bar: corporate actions, the lagged target, a new target, the bar's return, then borrow,
     interest and financing.  Yields ("nav", ...), ("trades", ...), ("fills", ...), ("cash", ...).
@@ -237,6 +251,9 @@ def simulate(panel: pd.DataFrame, cfg: BacktestConfig, actions: pd.DataFrame | N
     close, tradable, adv = side("close", 0.0), side("tradable", 1.0) > 0, side("adv_20", 0.0)
     comm, spread, fee, least = (side(c, 0.0) for c in ("commission_bps", "half_spread_bps", "exchange_fee_bps", "min_commission"))
     impact = np.full_like(ret, cfg.impact_coef) if cfg.impact_coef is not None else side("impact_coef", 0.0)
+    # Bounds of an id come before those of the configuration.
+    lower = side("min_weight", -np.inf if cfg.min_weight is None else cfg.min_weight)
+    upper = side("max_weight", np.inf if cfg.max_weight is None else cfg.max_weight)
     borrow, shortable, loan = side("borrow_rate_bps", 0.0), side("shortable", 1.0) > 0, side("loan_availability", np.inf)
     book = _Book(cfg.initial_cash, cfg.initial_cash, np.zeros(n), np.zeros(n))
     fixed = {pd.Timestamp(d) for d in cfg.rebalance_dates} if cfg.rebalance_dates else None
@@ -252,8 +269,7 @@ def simulate(panel: pd.DataFrame, cfg: BacktestConfig, actions: pd.DataFrame | N
         w = e / e.sum()
         if cfg.universe_mask:
             w = np.where(tradable[t], w, 0.0)
-        if cfg.min_weight is not None or cfg.max_weight is not None:
-            w = np.clip(w, -np.inf if cfg.min_weight is None else cfg.min_weight, np.inf if cfg.max_weight is None else cfg.max_weight)
+        w = np.clip(w, lower[t], upper[t])
         if cfg.max_gross is not None and (g := np.abs(w).sum()) > cfg.max_gross:
             w = w * cfg.max_gross / g
         if cfg.max_net is not None and abs(net := w.sum()) > cfg.max_net:
@@ -273,6 +289,7 @@ def simulate(panel: pd.DataFrame, cfg: BacktestConfig, actions: pd.DataFrame | N
         return np.where(adv[t] > 0, impact[t] * np.sqrt(np.abs(value) / np.where(adv[t] > 0, adv[t], 1.0)), FALLBACK_BPS)
 
     def execute(t: int, w: np.ndarray) -> None:
+        before = book.weights
         if cfg.share_space:
             value = w * book.nav - book.shares * close[t]
             price = close[t] * (1 + np.sign(value) * slip_bps(t, value) / 1e4) if cfg.slippage else close[t]
@@ -286,13 +303,13 @@ def simulate(panel: pd.DataFrame, cfg: BacktestConfig, actions: pd.DataFrame | N
             for k in np.flatnonzero(np.abs(delta) > 0):
                 part = abs(moved[k]) / total if total else 0.0
                 fills.append((dates[t], ids[k], delta[k], price[k], paid * part, slipped * part))
-                trades.append((dates[t], ids[k], moved[k]))
             book.weights = book.shares * close[t] / book.nav if book.nav > 0 else np.zeros(n)
         else:
-            moved = (w - book.weights) * book.nav
-            trades.extend((dates[t], ids[k], moved[k]) for k in np.flatnonzero(np.abs(moved) > 0))
+            moved = (w - before) * book.nav
             book.nav -= sum(costs(t, moved))
             book.weights = w
+        # The log has every id, by the value after costs.
+        trades.extend(zip(repeat(dates[t]), ids, (w - before) * book.nav))
 
     for t, day in enumerate(dates):
         stamp = pd.Timestamp(day)
@@ -302,7 +319,7 @@ def simulate(panel: pd.DataFrame, cfg: BacktestConfig, actions: pd.DataFrame | N
             if a.action_type == "split" and a.split_ratio and a.split_ratio > 0:
                 book.shares[k] *= a.split_ratio
                 close[t, k] /= a.split_ratio
-            elif a.action_type == "dividend" and a.cash_amount:
+            elif a.action_type in DIVIDENDS and a.cash_amount and a.cash_amount > 0:
                 book.cash += book.shares[k] * a.cash_amount
         if book.queue and book.queue[0][0] <= t:
             execute(t, book.queue.pop(0)[1])
@@ -315,7 +332,7 @@ def simulate(panel: pd.DataFrame, cfg: BacktestConfig, actions: pd.DataFrame | N
         if cfg.share_space:
             if t + 1 < len(dates):
                 close[t + 1] = close[t] * (1 + ret[t])
-            value = book.shares * close[t] * (1 + ret[t])
+            value = book.shares * close[t] * (1.0 if cfg.mark_at_close else 1 + ret[t])
             book.nav = float(value.sum()) + book.cash
             book.weights = value / book.nav if book.nav > 0 else np.zeros(n)
         else:
@@ -330,7 +347,8 @@ def simulate(panel: pd.DataFrame, cfg: BacktestConfig, actions: pd.DataFrame | N
             owed += float((short * borrow[t]).sum()) / 1e4 / TRADING_DAYS
         gain = book.cash * cfg.cash_interest_rate / TRADING_DAYS if cfg.cash_interest_rate and cfg.share_space else 0.0
         if cfg.financing:
-            dt = min((pd.Timestamp(dates[t]) - pd.Timestamp(dates[t - 1])).days / 365, LONGEST_STEP) if t else 1 / TRADING_DAYS
+            # Until the next date; a default step after the last one.
+            dt = min((pd.Timestamp(dates[t + 1]) - pd.Timestamp(day)).days / 365, LONGEST_STEP) if t + 1 < len(dates) else 1 / TRADING_DAYS
             paid = (float(short.sum()) * cfg.borrow_rate_annual + max(np.abs(book.weights).sum() - 1, 0.0) * book.nav * cfg.funding_rate_annual) * dt
             book.drag += paid
             owed += paid
@@ -375,17 +393,19 @@ def weight_space_eligible(cfg: BacktestConfig) -> bool:
     return not (cfg.share_space or cfg.execution_lag or cfg.corporate_actions or cfg.borrow_costs or cfg.short_gating or cfg.financing or cfg.cash_interest_rate)
 
 
-def run_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestConfig = BacktestConfig(), prices: DataFrame | None = None, costs: DataFrame | None = None, mask: DataFrame | None = None, actions: DataFrame | None = None, borrow: DataFrame | None = None) -> BacktestResult:
+def run_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestConfig = BacktestConfig(), prices: DataFrame | None = None, costs: DataFrame | None = None, mask: DataFrame | None = None, actions: DataFrame | None = None, borrow: DataFrame | None = None, bounds: DataFrame | None = None) -> BacktestResult:
     """The windows where the configuration allows, else bar by bar."""
     validate_universe(returns, signals)
     if cfg.share_space and prices is None:
         raise ValueError("share accounting needs prices")
     if weight_space_eligible(cfg):
-        return weight_space_backtest(returns, signals, cfg, costs, prices, mask if cfg.universe_mask else None)
+        return weight_space_backtest(returns, signals, cfg, costs, prices, mask if cfg.universe_mask else None, bounds)
     panel = returns.join(signals.select("date", "id", "signal"), ["date", "id"], "left")
     for table, names in ((prices, ("close", "adv_20")), (costs, ("commission_bps", "half_spread_bps", "exchange_fee_bps", "min_commission", "impact_coef")), (mask, ("tradable",)), (borrow, ("borrow_rate_bps", "shortable", "loan_availability"))):
         if table is not None:
             panel = panel.join(table.select("date", "id", *(n for n in names if n in table.columns)), ["date", "id"], "left")
+    if bounds is not None:
+        panel = panel.join(bounds.select("id", "min_weight", "max_weight"), "id", "left")
     log = bar_backtest(panel, cfg, actions).persist()
     pick = lambda k, *c: log.where(F.col("kind") == k).select(*c)
     drag = log.where("kind = 'final'").agg(F.max("drag")).first()[0] or 0.0

@@ -167,13 +167,18 @@ def asof_backward(left: DataFrame, right: DataFrame, left_on: str, right_on: str
     return a.unionByName(b, allowMissingColumns=True).withColumn(name, F.last("_v", True).over(w)).where("_side = 0").drop("_t", "_side", "_v")
 
 
+# The action types that pay cash.
+DIVIDENDS = ("cash_dividend", "special_dividend")
+
+
 def action_factors(prices: DataFrame, actions: DataFrame, close_col: str = "close") -> DataFrame:
-    """(ex_date, id, action_type, factor): splits 1 / ratio, dividends p / (p + cash) by the last close before;
-    other actions, those of unknown ids and dividends without a price before have none."""
+    """(ex_date, id, action_type, factor): splits 1 / ratio, cash and special dividends p / (p + cash) by the last
+    close before; other actions, those of unknown ids, dividends without a price before, and ratios and amounts that
+    are null or not positive have none."""
     known = actions.join(prices.select("id").distinct(), "id", "left_semi")
     priced = asof_backward(known.select("ex_date", "id", "action_type", "split_ratio", "cash_amount"), prices.select("date", "id", close_col), "ex_date", "date", "id", close_col, "_pre")
     factor = F.when((F.col("action_type") == "split") & (F.col("split_ratio") > 0), 1 / F.col("split_ratio")).when(
-        (F.col("action_type") == "dividend") & (F.col("_pre") > 0), F.col("_pre") / (F.col("_pre") + F.col("cash_amount"))
+        F.col("action_type").isin(*DIVIDENDS) & (F.col("cash_amount") > 0) & (F.col("_pre") > 0), F.col("_pre") / (F.col("_pre") + F.col("cash_amount"))
     )
     return priced.withColumn("factor", factor).where("factor is not null").select("ex_date", "id", "action_type", "factor")
 

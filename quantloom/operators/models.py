@@ -44,28 +44,39 @@ def date_axis(panel: DataFrame) -> DataFrame:
 
 # --- splitters: (fold, train_start, train_end, test_start, test_end), all inclusive ------------------
 
-def _edges(n: int, k: int) -> list[tuple[int, int]]:
-    """k consecutive ranges of nearly equal size, the larger ones first."""
-    size, rest = divmod(n, k)
-    cut = np.cumsum([0] + [size + (i < rest) for i in range(k)])
-    return [(int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+def _enough(n: int, reserved: int, k: int) -> int:
+    """Dates of each of ``k`` test ranges behind ``reserved`` ones."""
+    if k < 2:
+        raise ValueError("n_splits must be 2 or more")
+    if n - reserved < k:
+        raise ValueError(f"{n} dates are too few for {reserved} training dates and {k} test ranges")
+    return (n - reserved) // k
 
 
 @dataclass(frozen=True)
 class PurgedSplitter:
-    """Contiguous test folds; training rows lie more than ``embargo`` calendar days before the test."""
+    """Contiguous test folds of equal size, the last one with what is left; training rows lie more than ``embargo``
+    calendar days before the test."""
 
     n_splits: int = 5
     embargo: int = 5
 
     def split(self, dates: list) -> list[tuple]:
-        out = []
-        for f, (a, b) in enumerate(_edges(len(dates), self.n_splits)):
-            train = [d for d in dates if (dates[a] - d).days > self.embargo]
-            out.append((f, train[0] if train else None, train[-1] if train else None, dates[a], dates[b - 1]))
+        size, out = _enough(len(dates), 0, self.n_splits), []
+        for f in range(self.n_splits):
+            first, last = dates[f * size], dates[-1] if f == self.n_splits - 1 else dates[(f + 1) * size - 1]
+            train = [d for d in dates if (first - d).days > self.embargo]
+            out.append((f, train[0] if train else None, train[-1] if train else None, first, last))
         return out
 
 
+def _after(dates: list, reserved: int, k: int, embargo: int) -> list[tuple[int, int, int]]:
+    """(fold, first, last) of test ranges of equal steps that begin ``embargo`` dates late and end with the axis."""
+    step = _enough(len(dates), reserved, k)
+    starts = ((f, reserved + f * step + embargo) for f in range(k))
+    return [(f, a, min(a + step, len(dates)) - 1) for f, a in starts if a < len(dates)]
+
+
 @dataclass(frozen=True)
 class WalkForwardSplitter:
     """Expanding training window; the embargo counts dates of the axis."""
@@ -75,12 +86,7 @@ class WalkForwardSplitter:
     min_train: int = 1
 
     def split(self, dates: list) -> list[tuple]:
-        first = self.min_train + self.embargo
-        out = []
-        for f, (a, b) in enumerate(_edges(max(0, len(dates) - first), self.n_splits)):
-            if b > a:
-                out.append((f, dates[0], dates[first + a - self.embargo - 1], dates[first + a], dates[first + b - 1]))
-        return out
+        return [(f, dates[0], dates[a - self.embargo - 1], dates[a], dates[b]) for f, a, b in _after(dates, self.min_train, self.n_splits, self.embargo)]
 
 
 @dataclass(frozen=True)
@@ -92,13 +98,7 @@ class RollingSplitter:
     train: int = 60
 
     def split(self, dates: list) -> list[tuple]:
-        first = self.train + self.embargo
-        out = []
-        for f, (a, b) in enumerate(_edges(max(0, len(dates) - first), self.n_splits)):
-            if b > a:
-                end = first + a - self.embargo - 1
-                out.append((f, dates[end - self.train + 1], dates[end], dates[first + a], dates[first + b - 1]))
-        return out
+        return [(f, dates[a - self.embargo - self.train], dates[a - self.embargo - 1], dates[a], dates[b]) for f, a, b in _after(dates, self.train, self.n_splits, self.embargo)]
 
 
 FOLDS = "fold int, train_start date, train_end date, test_start date, test_end date"

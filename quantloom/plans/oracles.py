@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.generators import GENERATORS, GenSpec
+from ..sources.schema import schema_for
 from .adapters import sql
 
 RANK = "rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v}) - 1) / 2.0"
@@ -68,9 +70,12 @@ _MODEL = "SELECT date, id, value / 1e5 AS x1, signal2 AS x2, fwd_1 AS y, 1.0::DO
 _AXIS = "SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM nation_panel)"
 
 
-def folds(first: str, splits: int, columns: str) -> str:
-    """Consecutive test ranges over the dates from ``first``, the larger ones first."""
-    part = f"SELECT f AS fold, n - ({first}) AS m, f * ((n - ({first})) // {splits}) + least(f, (n - ({first})) % {splits}) + ({first}) AS a, (f + 1) * ((n - ({first})) // {splits}) + least(f + 1, (n - ({first})) % {splits}) + ({first}) - 1 AS b FROM (SELECT DISTINCT n FROM axis), range({splits}) r(f)"
+def folds(reserved: str, embargo: int, splits: int, columns: str) -> str:
+    """Test ranges [a, b] of (n - reserved) // splits dates behind the reserved ones, each begun ``embargo`` dates late;
+    without reserved dates the last range takes what is left."""
+    step = f"((n - {reserved}) // {splits})"
+    end = "n - 1" if reserved == "0" else f"least(a + {step} - 1, n - 1)"
+    part = f"SELECT *, CASE WHEN fold = {splits - 1} THEN {end} ELSE least(a + {step} - 1, n - 1) END AS b FROM (SELECT f AS fold, n, {reserved} + f * {step} + {embargo} AS a FROM (SELECT DISTINCT n FROM axis), range({splits}) r(f)) WHERE a < n"
     return sql(f"SELECT {columns} FROM part", "nation_panel", axis=_AXIS, part=part)
 
 
@@ -78,6 +83,9 @@ def on(expr: str) -> str:
     return f"(SELECT date FROM axis WHERE t = {expr})"
 
 
+_SIGNED = "SELECT date, id, CASE WHEN id % 3 = 0 THEN -weight ELSE weight END AS w FROM weights"
+_DATASETS = [(n, len(schema_for(n, GenSpec().n_features).columns)) for n in GENERATORS]
+
 ORACLE: dict[str, str] = {
     "scan_filter_project": "SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS id, l_extendedprice AS price FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1998-01-10' AND DATE '1998-02-20' AND l_suppkey BETWEEN 1 AND 10",
     "schema_key_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
@@ -141,7 +149,7 @@ ORACLE: dict[str, str] = {
     "bh_bonferroni": "SELECT n_nationkey, round(p, 8) AS p_value, p <= 0.05 / k AS bonferroni, rk <= m AS bh, round(m * 0.05 / k, 8) AS bh_threshold FROM (SELECT *, coalesce(max(CASE WHEN p <= rk * 0.05 / k THEN rk END) OVER (), 0) AS m FROM (SELECT n_nationkey, p, count(*) OVER () AS k, row_number() OVER (ORDER BY p) AS rk FROM (SELECT n_nationkey, (n_nationkey * 7 % 25 + 1) / 1000.0::DOUBLE AS p FROM nation)))",
     "asof_prev_view": "SELECT a.event_id, a.ts, a.user_id, b.value AS prev_view FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts > b.ts",
     "back_adjusted_price": sql("SELECT date, id, round(close, 5) AS close, round(close * coalesce((SELECT exp(sum(ln(factor))) FROM f WHERE f.id = p.id AND f.ex_date > p.date), 1.0), 5) AS adj_close FROM p", "user_day", **_ADJ),
-    "adjustment_log": sql("SELECT ex_date, id, 'dividend' AS action_type, round(factor, 8) AS factor FROM f", "user_day", **_ADJ),
+    "adjustment_log": sql("SELECT ex_date, id, CASE WHEN id % 2 = 0 THEN 'cash_dividend' ELSE 'special_dividend' END AS action_type, round(factor, 8) AS factor FROM f", "user_day", **_ADJ),
     "latest_known_order": "SELECT id, knowledge_date, o_orderkey, o_totalprice FROM (SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS knowledge_date, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS k FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1998-06-30') WHERE k = 1",
     "universe_overlay": sql("SELECT date, id, coalesce(n > 2 AND inside, false) AS in_universe, coalesce(inside, false) AS listed FROM (SELECT date, id, n, id % 7 <> 0 AND date >= DATE '1996-01-01' AND (id % 3 <> 0 OR date <= DATE '1999-01-01') AS inside FROM supplier_month)", "supplier_month"),
     "resolved_universe": sql("SELECT d.date, count(*) AS cells, count(*) FILTER (WHERE m.n > 2) AS members FROM (SELECT DISTINCT date FROM supplier_month) d CROSS JOIN (SELECT DISTINCT id FROM supplier_month) i LEFT JOIN supplier_month m ON m.date = d.date AND m.id = i.id GROUP BY 1", "supplier_month"),
@@ -154,7 +162,7 @@ ORACLE: dict[str, str] = {
     "masked_panel": sql("SELECT d.date, i.id, coalesce(w.value, 0.0) AS value, w.value IS NOT NULL AS is_observed FROM (SELECT DISTINCT date FROM supplier_week) d CROSS JOIN (SELECT DISTINCT id FROM supplier_week) i LEFT JOIN supplier_week w ON w.date = d.date AND w.id = i.id", "supplier_week"),
     "quality_flags": sql(
         "SELECT date, id, value, false AS is_duplicate_key, coalesce(stddev_samp(value) OVER (PARTITION BY id) = 0, true) AS is_frozen_series, coalesce(value = lag(value) OVER (PARTITION BY id ORDER BY date), false) AS price_stale, coalesce(abs((value - avg(value) OVER (PARTITION BY date)) / (stddev_samp(value) OVER (PARTITION BY date) + 1e-12)) > 3.0, false) AS outlier_flagged, id IN (SELECT id FROM sparse) AS sparse_coverage FROM supplier_week",
-        "supplier_week", sparse="SELECT DISTINCT id FROM (SELECT date, id FROM (SELECT DISTINCT date FROM supplier_week WHERE date < DATE '1996-01-01') CROSS JOIN (SELECT DISTINCT id FROM supplier_week WHERE id <= 50) EXCEPT SELECT date, id FROM supplier_week)",
+        "supplier_week", sparse="SELECT DISTINCT id FROM (SELECT date, id FROM (SELECT DISTINCT date FROM supplier_week WHERE date < DATE '1996-01-01') CROSS JOIN (SELECT DISTINCT id FROM supplier_week) EXCEPT SELECT date, id FROM supplier_week)",
     ),
     "frozen_series": sql("SELECT id, count(*) AS n_obs, arg_min(value, date) AS value_constant FROM (SELECT date, id, CASE WHEN id % 5 = 0 THEN 1.5::DOUBLE ELSE value END AS value FROM user_day) GROUP BY id HAVING count(*) = 1 OR stddev_samp(value) = 0", "user_day"),
     "spike_outliers": sql("SELECT date, id, value, round(zz, 6) AS z_score FROM (SELECT date, id, value, abs((value - avg(value) OVER (PARTITION BY date)) / (stddev_samp(value) OVER (PARTITION BY date) + 1e-12)) AS zz FROM supplier_week) WHERE zz > 3.0", "supplier_week"),
@@ -207,23 +215,47 @@ ORACLE: dict[str, str] = {
     "risk_contributions": sql("SELECT id, round(m, 7) + 0.0 AS marginal, round(weight * m, 7) + 0.0 AS component FROM (SELECT id, weight, f0 + x * f1 + weight * d AS m FROM w, fx)", **_RISK),
     "rolling_portfolio_vol": sql("SELECT date, round(stddev_samp(r), 6) AS vol FROM past GROUP BY 1", "nation_panel", **_STATIC),
     "rolling_var": sql("SELECT date, round(-quantile_cont(r, 0.05), 6) + 0.0 AS \"var\" FROM past GROUP BY 1", "nation_panel", **_STATIC),
-    "sample_covariance": sql("SELECT a.id AS i, b.id AS j, round(covar_samp(a.ret, b.ret), 5) + 0.0 AS cov FROM nation_panel a JOIN nation_panel b ON a.date = b.date AND a.id <= b.id WHERE a.id < 8 AND b.id < 8 GROUP BY 1, 2", "nation_panel"),
+    "sample_covariance": sql("SELECT a.id AS i, b.id AS j, round(covar_samp(a.ret, b.ret), 5) + 0.0 AS cov FROM nation_panel a JOIN nation_panel b ON a.date = b.date AND a.id <= b.id GROUP BY 1, 2", "nation_panel"),
     "weighting_schemes": sql("SELECT date, id, round(value / sum(value) OVER d, 8) AS cap, round((1 / quantity) / sum(1 / quantity) OVER d, 8) AS inverse_vol, round(1.0::DOUBLE / count(*) OVER d, 8) AS \"equal\" FROM supplier_month WINDOW d AS (PARTITION BY date)", "supplier_month"),
     "rebalance_costs": sql("SELECT date, round(sum(d) / 2, 7) AS turnover, round(sum(d) * 0.002, 7) AS cost FROM (SELECT date, abs(weight - coalesce(lag(weight) OVER (PARTITION BY id ORDER BY date), 0)) AS d FROM weights) GROUP BY 1", "weights"),
     "backtest_gross": sql("SELECT date, round(port_ret, 6) + 0.0 AS port_ret, round(1000.0 * exp(sum(ln(1 + port_ret)) OVER (ORDER BY date)), 6) AS nav FROM day", "nation_panel", **_GROSS),
-    "trade_costs": "SELECT l_orderkey, round(sum(greatest(l_extendedprice * l_linenumber / 1e4, 5.0) + l_extendedprice * 2.3 / 1e4), 5) AS cost, round(sum(l_extendedprice * 10 * sqrt(l_extendedprice / (l_quantity * 1e5)) / 1e4), 5) AS slippage FROM lineitem WHERE l_orderkey < 500 AND l_extendedprice > 0 GROUP BY 1",
-    "walk_forward_folds": folds("14", 5, f"fold, {on('0')} AS train_start, {on('a - 3')} AS train_end, {on('a')} AS test_start, {on('b')} AS test_end"),
-    "rolling_folds": folds("26", 4, f"fold, {on('a - 26')} AS train_start, {on('a - 3')} AS train_end, {on('a')} AS test_start, {on('b')} AS test_end"),
-    "purged_folds": folds("0", 5, f"fold, (SELECT min(date) FROM axis WHERE {on('a')} - date > 45) AS train_start, (SELECT max(date) FROM axis WHERE {on('a')} - date > 45) AS train_end, {on('a')} AS test_start, {on('b')} AS test_end"),
-    "fold_sizes": folds("14", 5, "fold, 'train' AS role, (SELECT count(*) FROM nation_panel JOIN axis USING (date) WHERE t <= a - 3) AS n FROM part UNION ALL SELECT fold, 'test', (SELECT count(*) FROM nation_panel JOIN axis USING (date) WHERE t BETWEEN a AND b)"),
+    "trade_costs": "SELECT l_orderkey, round(sum(greatest(l_extendedprice * l_linenumber / 1e4, 5.0) + l_extendedprice * 2.3 / 1e4), 8) AS cost, round(sum(l_extendedprice * 10 * sqrt(l_extendedprice / (l_quantity * 1e5)) / 1e4), 8) AS slippage FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1",
+    "walk_forward_folds": folds("12", 2, 5, f"fold, {on('0')} AS train_start, {on('a - 3')} AS train_end, {on('a')} AS test_start, {on('b')} AS test_end"),
+    "rolling_folds": folds("24", 2, 4, f"fold, {on('a - 26')} AS train_start, {on('a - 3')} AS train_end, {on('a')} AS test_start, {on('b')} AS test_end"),
+    "purged_folds": folds("0", 0, 5, f"fold, (SELECT min(date) FROM axis WHERE {on('a')} - date > 45) AS train_start, (SELECT max(date) FROM axis WHERE {on('a')} - date > 45) AS train_end, {on('a')} AS test_start, {on('b')} AS test_end"),
+    "fold_sizes": folds("12", 2, 5, "fold, 'train' AS role, (SELECT count(*) FROM nation_panel JOIN axis USING (date) WHERE t <= a - 3) AS n FROM part UNION ALL SELECT fold, 'test', (SELECT count(*) FROM nation_panel JOIN axis USING (date) WHERE t BETWEEN a AND b)"),
     "wf_ridge_moments": sql(
         "SELECT date, count(*) AS n, round(sum(weight), 4) AS w, round(sum(y), 4) + 0.0 AS wy, round(sum(y * y), 4) AS wyy, round(sum(y), 4) + 0.0 AS y, round(sum(y * y), 4) AS yy, round(sum(x1), 4) AS wx_0, round(sum(x1 * y), 4) + 0.0 AS wxy_0, round(sum(x1), 4) AS x_0, round(sum(x1 * x1), 4) AS xx_0, round(sum(x1 * x1), 4) AS wxx_0_0, round(sum(x1 * x2), 4) AS wxx_0_1, round(sum(x2), 4) AS wx_1, round(sum(x2 * y), 4) + 0.0 AS wxy_1, round(sum(x2), 4) AS x_1, round(sum(x2 * x2), 4) AS xx_1, round(sum(x2 * x2), 4) AS wxx_1_1 FROM m GROUP BY date",
         "supplier_panel", m=_MODEL,
     ),
-    "leakage_audit": folds("14", 5, f"(SELECT max(abs(fwd - nxt) / (abs(nxt) + 1e-8)) FROM (SELECT fwd, lead(ret) OVER (PARTITION BY id ORDER BY date) AS nxt FROM nation_panel) WHERE fwd IS NOT NULL AND nxt IS NOT NULL) AS max_error, (SELECT count(fwd) FROM nation_panel) AS n, min({on('a')} - {on('a - 3')}) AS min_gap"),
+    "leakage_audit": folds("12", 2, 5, f"(SELECT max(abs(fwd - nxt) / (abs(nxt) + 1e-8)) FROM (SELECT fwd, lead(ret) OVER (PARTITION BY id ORDER BY date) AS nxt FROM nation_panel) WHERE fwd IS NOT NULL AND nxt IS NOT NULL) AS max_error, (SELECT count(fwd) FROM nation_panel) AS n, min({on('a')} - {on('a - 3')}) AS min_gap"),
     "held_out_scores": sql(
         f"SELECT date, round(CASE WHEN var_pop(y) > 0 THEN 1 - sum(pow(y - x1 / 10, 2)) / (var_pop(y) * count(*)) ELSE 0.0 END, 6) AS r2, round(coalesce({corr('a', 'b', 3)}, 0.0), 6) AS ic FROM (SELECT date, y, x1, {avg_rank('y')} AS a, {avg_rank('x1')} AS b FROM m) GROUP BY date", "supplier_panel", m=_MODEL,
     ),
+    "rolling_max_drawdown": sql(
+        "SELECT e.date, CASE WHEN e.t >= 21 THEN round(least(min(exp(x.l - x.m) - 1), 0.0), 11) + 0.0 END AS rolling_max_drawdown FROM p e LEFT JOIN x ON x.e = e.t GROUP BY e.date, e.t", "daily",
+        p="SELECT date, row_number() OVER (ORDER BY date) AS t, sum(ln(1 + return_1d)) OVER (ORDER BY date) AS l FROM daily",
+        x="SELECT e.t AS e, b.t AS t, b.l AS l, max(a.l) AS m FROM p e JOIN p b ON b.t BETWEEN e.t - 20 AND e.t JOIN p a ON a.t BETWEEN e.t - 20 AND b.t GROUP BY 1, 2, 3",
+    ),
+    "incremental_ic": sql(
+        "SELECT CAST(n_signals AS INT) AS n_signals, round(m, 8) AS mean_ic, round(m - coalesce(lag(m) OVER (ORDER BY n_signals), 0.0), 8) AS increment FROM (SELECT n_signals, avg(ic) AS m FROM c GROUP BY 1)", "supplier_panel", stacked=_BLEND,
+        zs=f"SELECT date, id, k, {z('s', 'k, date')} AS zz FROM stacked",
+        b="SELECT i AS n_signals, date, id, avg(zz) AS s FROM zs, range(1, 4) r(i) WHERE k < i AND zz IS NOT NULL GROUP BY 1, 2, 3",
+        p="SELECT n_signals, date, id, s, fwd_1 AS r FROM b JOIN supplier_panel USING (date, id) WHERE fwd_1 IS NOT NULL",
+        c=f"SELECT n_signals, date, {corr('a', 'q', 5)} AS ic FROM (SELECT n_signals, date, {avg_rank('s', 'n_signals, date')} AS a, {avg_rank('r', 'n_signals, date')} AS q FROM p) GROUP BY 1, 2",
+    ),
+    "parametric_risk": "SELECT c AS confidence, CAST(h AS INT) AS horizon, round(-(h * 0.0002::DOUBLE + q * sqrt(h * 0.0004::DOUBLE)), 8) AS \"var\", round(-h * 0.0002::DOUBLE + sqrt(h * 0.0004::DOUBLE) * exp(-q * q / 2) / sqrt(2 * pi()) / (1 - c), 8) AS cvar FROM (VALUES (0.95::DOUBLE, -1.6448536269514729::DOUBLE), (0.99::DOUBLE, -2.3263478740408408::DOUBLE)) v(c, q), (VALUES (1), (5), (21)) u(h)",
+    "gross_capped": sql(f"SELECT date, id, round(w * CASE WHEN sum(abs(w)) OVER d > 0.5 THEN 0.5 / sum(abs(w)) OVER d ELSE 1 END, 8) + 0.0 AS weight FROM ({_SIGNED}) WINDOW d AS (PARTITION BY date)", "weights"),
+    "net_capped": sql(f"SELECT date, id, round(CASE WHEN sum(w) OVER d > 0.2 AND w > 0 THEN w * (1 - (sum(w) OVER d - 0.2) / sum(greatest(w, 0)) OVER d) WHEN sum(w) OVER d < -0.2 AND w < 0 THEN w * (1 - (-0.2 - sum(w) OVER d) / sum(greatest(-w, 0)) OVER d) ELSE w END, 8) + 0.0 AS weight FROM ({_SIGNED}) WINDOW d AS (PARTITION BY date)", "weights"),
+    "masked_weights": sql("SELECT date, id, CASE WHEN n > 2 THEN round(weight, 8) ELSE 0.0 END + 0.0 AS weight FROM weights JOIN supplier_month USING (date, id)", "weights", "supplier_month"),
+    "bounded_weights": sql(f"SELECT date, id, round(greatest(-0.001::DOUBLE, least(CASE WHEN id % 5 > 0 THEN (id % 5) / 100.0::DOUBLE ELSE 0.05 END, w)), 8) + 0.0 AS weight FROM ({_SIGNED})", "weights"),
+    "no_trade_band": sql("SELECT date, id, round(CASE WHEN abs(weight - old) <= 0.003 THEN old ELSE weight END, 8) AS weight FROM (SELECT *, coalesce(lag(weight) OVER (PARTITION BY id ORDER BY date), 0.0) AS old FROM weights)", "weights"),
+    "holding_costs": sql(f"SELECT date, round(sum(greatest(-w, 0.0) * 1e6 * (id % 7) * 10 / 1e4 / 252), 5) + 0.0 AS borrow_cost, round(1e6 * (1 - sum(w)) * 0.03 / 252, 5) + 0.0 AS cash_interest FROM ({_SIGNED}) GROUP BY 1", "weights"),
+    "active_returns": sql("SELECT date, round(return_1d - return_1d / 3, 8) + 0.0 AS active_return FROM daily", "daily"),
+    "information_ratio": sql("SELECT round(avg(a) / stddev_samp(a) * sqrt(252), 8) AS information_ratio FROM (SELECT return_1d - return_1d / 3 AS a FROM daily)", "daily"),
+    "annualized_calendar": sql("SELECT round(pow((SELECT product(1 + return_1d) FROM series), 252.0 / count(*)) - 1, 7) AS annualized_return FROM (SELECT DISTINCT date FROM daily WHERE month(date) <> 12 AND date BETWEEN (SELECT min(date) FROM series) AND (SELECT max(date) FROM series))", "daily", "series"),
+    "tracking_error": sql("SELECT round(sqrt(sum(CASE WHEN i = j THEN 1 ELSE 2 END * ((i + 1) / 325.0::DOUBLE - 0.04) * ((j + 1) / 325.0::DOUBLE - 0.04) * c)), 6) AS tracking_error FROM (SELECT a.id AS i, b.id AS j, covar_samp(a.ret, b.ret) AS c FROM nation_panel a JOIN nation_panel b ON a.date = b.date AND a.id <= b.id GROUP BY 1, 2)", "nation_panel"),
+    "generated_datasets": "SELECT name AS dataset, CAST(n AS BIGINT) AS n_columns, true AS has_rows, CAST(0 AS BIGINT) AS repeated_keys, CAST(0 AS BIGINT) AS nulls FROM (VALUES " + ", ".join(f"('{n}', {k})" for n, k in _DATASETS) + ") v(name, n)",
     "scaling_fit": "SELECT stage, 'elapsed_s' AS metric, 'n_assets' AS scaling_dim, round(regr_slope(y, x), 8) AS log_log_slope, round(regr_intercept(y, x), 8) AS intercept, round(regr_r2(y, x), 8) AS r_squared, CAST(count(*) AS BIGINT) AS n_points FROM (SELECT stage, ln(n_assets) AS x, ln(median(elapsed_s)) AS y FROM (SELECT 'stage' || (i % 2) AS stage, 100 * (1 + (i // 2) % 5) AS n_assets, pow(1.0 + (i // 2) % 5, 1.5) * (1 + i / 1000.0) AS elapsed_s FROM range(60) r(i)) GROUP BY stage, n_assets) GROUP BY 1",
     "regression_check": "SELECT * FROM (VALUES ('etl', 'elapsed_s', 1.0::DOUBLE, 1.5::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE), ('signals', 'result_mb', 10.0::DOUBLE, 30.0::DOUBLE, 2.0::DOUBLE, 20.0::DOUBLE)) v(stage, metric, baseline_value, current_value, pct_increase, abs_increase)",
     "events_tumbling": "SELECT CAST(ts AS DATE) AS window_start, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE), 4) AS total FROM events GROUP BY 1, 2",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,9 +18,9 @@ from ..operators import models as mo
 from ..operators import portfolio as pf
 from ..operators import signals as sg
 from ..operators import telemetry as tm
-from ..sources.generators import GenSpec
+from ..sources.generators import GenSpec, generate_all
 from ..sources.loader import select_rows
-from ..sources.schema import key_violations
+from ..sources.schema import key_violations, schema_for
 from ..streaming import events as ev
 from .adapters import Tables, cents
 from .pipeline import StrategySpec, run_production_pipeline, summary_frame, walk_forward_backtest
@@ -261,7 +263,7 @@ def asof_prev_view(t: Tables) -> DataFrame:
 def _adjusted(t: Tables) -> tuple[DataFrame, DataFrame]:
     prices = t.user_day().withColumnRenamed("value", "close").where("close > 0")
     paid = t.events.where("event_type = 'purchase'").groupBy(F.col("ts").cast("date").alias("ex_date"), F.col("user_id").alias("id")).agg((F.sum(F.col("value").cast("decimal(28,4)")).cast("double") / 100).alias("cash_amount"))
-    return cl.adjust_prices(prices, paid.select("ex_date", "id", F.lit("dividend").alias("action_type"), F.lit(None).cast("double").alias("split_ratio"), "cash_amount"))
+    return cl.adjust_prices(prices, paid.select("ex_date", "id", F.when(F.col("id") % 2 == 0, "cash_dividend").otherwise("special_dividend").alias("action_type"), F.lit(None).cast("double").alias("split_ratio"), "cash_amount"))
 
 
 @query
@@ -342,7 +344,7 @@ def masked_panel(t: Tables) -> DataFrame:
 @query
 def quality_flags(t: Tables) -> DataFrame:
     p = t.supplier_week()
-    return cl.annotate_quality_flags(p, "value", p.where("date < '1996-01-01'"), p.where("id <= 50"), 3.0)
+    return cl.annotate_quality_flags(p, "value", p.where("date < '1996-01-01'"), p, 3.0)
 
 
 @query
@@ -406,7 +408,7 @@ def rolling_sharpe_vol_beta(t: Tables) -> DataFrame:
 
 @query
 def rolling_max_drawdown(t: Tables) -> DataFrame:
-    return rounded(an.rolling_max_drawdown(t.daily(), 21), 8)
+    return rounded(an.rolling_max_drawdown(t.daily(), 21), 11)
 
 
 @query
@@ -489,7 +491,7 @@ def brinson(t: Tables) -> DataFrame:
 
 @query
 def factor_attribution(t: Tables) -> DataFrame:
-    regions = t.nation_panel().where("id < 3").select("date", F.col("id").alias("factor_id"), (F.col("return") / 100).alias("return"))
+    regions = t.nation_panel().select("date", F.col("id").alias("factor_id"), (F.col("return") / 100).alias("return"))
     return rounded(an.factor_attribution(t.series(), regions), 6)
 
 
@@ -551,7 +553,7 @@ def rolling_var(t: Tables) -> DataFrame:
 
 @query
 def sample_covariance(t: Tables) -> DataFrame:
-    return rounded(pf.sample_cov(ret(t.nation_panel()), list(range(8))), 5)
+    return rounded(pf.sample_cov(ret(t.nation_panel())), 5)
 
 
 @query
@@ -567,18 +569,24 @@ def rebalance_costs(t: Tables) -> DataFrame:
     return rounded(pf.rebalance_costs(t.weights(), 0.002), 7)
 
 
+def _ids(t: Tables) -> list[int]:
+    """All ids of the panel of nations, a short axis."""
+    return [r[0] for r in t.nation_panel().select("id").distinct().orderBy("id").collect()]
+
+
 @query
 def ledoit_wolf(t: Tables) -> DataFrame:
-    cov = pf.shrunk_cov(ret(t.nation_panel()), list(range(10)))
-    return rounded(t.spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(10) for j in range(10)], "i int, j int, cov double"), 5)
+    ids = _ids(t)
+    cov = pf.shrunk_cov(ret(t.nation_panel()), ids)
+    return rounded(t.spark.createDataFrame([(i, j, float(cov[a, b])) for a, i in enumerate(ids) for b, j in enumerate(ids)], "i long, j long, cov double"), 5)
 
 
 @query
 def mean_variance(t: Tables) -> DataFrame:
-    p, ids = t.nation_panel(), list(range(10))
+    p, ids = t.nation_panel(), _ids(t)
     cov = pf.shrunk_cov(ret(p), ids) / 1e4
-    spec = pf.Constraints(10, long_only=True, max_weight=0.3, net_exposure=1.0)
-    months = p.where((F.col("id") < 10) & (F.month("date") == 6)).select("date", "id", (F.col("signal") / 100).alias("signal"))
+    spec = pf.Constraints(len(ids), long_only=True, max_weight=0.3, net_exposure=1.0)
+    months = p.select("date", "id", (F.col("signal") / 100).alias("signal"))
     return rounded(pf.optimize_by_date(months, cov, ids, spec, 2.0), 5)
 
 
@@ -621,7 +629,7 @@ def trade_costs(t: Tables) -> DataFrame:
     v, n = F.col("l_extendedprice"), F.col("l_linenumber")
     cost = bt.transaction_cost(v, n * 1.0, F.lit(2.0), F.lit(0.3), F.lit(5.0))
     slip = bt.slippage_cost(v, F.col("l_quantity") * 1e5, F.lit(10.0))
-    return rounded(t.lineitem.where("l_orderkey < 500").groupBy("l_orderkey").agg(F.sum(cost).alias("cost"), F.sum(slip).alias("slippage")), 5)
+    return rounded(t.lineitem.groupBy("l_orderkey").agg(F.sum(cost).alias("cost"), F.sum(slip).alias("slippage")), 8)
 
 
 # --- models ----------------------------------------------------------------------------------------
@@ -689,7 +697,11 @@ def held_out_scores(t: Tables) -> DataFrame:
 
 def _shared(t: Tables, name: str) -> str:
     """A new folder below the one that driver and executors share."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", t.spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp()
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -704,11 +716,99 @@ def walk_forward_backtest_nav(t: Tables) -> DataFrame:
 
 @query
 def production_pipeline(t: Tables) -> DataFrame:
-    """The whole chain on generated data of a small size; the driver's tables are not read."""
-    spec = StrategySpec(GenSpec(16, 90, 4, 3, seed=1), wf_splits=2, n_optimized=16)
+    """The whole chain on generated data of the default size; its inputs are generated, no other table is read."""
+    spec = StrategySpec()
     return rounded(summary_frame(t.spark, run_production_pipeline(t.spark, _shared(t, "research"), spec)), 6)
 
 
+# --- constraints, costs of holding, tracking ---------------------------------------------------------
+
+def _signed(t: Tables) -> DataFrame:
+    return t.weights().withColumn("weight", F.when(F.col("id") % 3 == 0, -F.col("weight")).otherwise(F.col("weight")))
+
+
+@query
+def gross_capped(t: Tables) -> DataFrame:
+    return rounded(bt.apply_gross_cap(_signed(t), 0.5))
+
+
+@query
+def net_capped(t: Tables) -> DataFrame:
+    return rounded(bt.apply_net_cap(_signed(t), 0.2))
+
+
+@query
+def masked_weights(t: Tables) -> DataFrame:
+    return rounded(bt.apply_universe_mask(t.weights(), t.supplier_month().select("date", "id", (F.col("n") > 2).alias("tradable"))))
+
+
+@query
+def bounded_weights(t: Tables) -> DataFrame:
+    bounds = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(-0.001).alias("min_weight"), F.when(F.col("s_suppkey") % 5 > 0, F.col("s_suppkey") % 5 / 100.0).alias("max_weight"))
+    return rounded(bt.apply_weight_bounds(_signed(t), bounds, bt.BacktestConfig(max_weight=0.05)))
+
+
+@query
+def no_trade_band(t: Tables) -> DataFrame:
+    old = F.coalesce(F.lag("weight").over(Window.partitionBy("id").orderBy("date")), F.lit(0.0))
+    return rounded(t.weights().select("date", "id", pf.no_trade_band(F.col("weight"), old, 0.003).alias("weight")))
+
+
+@query
+def holding_costs(t: Tables) -> DataFrame:
+    """Borrow cost of the shorts and interest on the rest of the value."""
+    cost = F.sum(bt.borrow_cost(F.col("weight"), F.lit(1e6), F.col("id") % 7 * 10.0))
+    interest = bt.cash_interest(F.lit(1e6) * (1 - F.sum("weight")), 0.03)
+    return rounded(_signed(t).groupBy("date").agg(cost.alias("borrow_cost"), interest.alias("cash_interest")), 5)
+
+
+@query
+def active_returns(t: Tables) -> DataFrame:
+    return rounded(an.active_returns(t.daily(), t.daily().withColumn("return_1d", F.col("return_1d") / 3)))
+
+
+@query
+def information_ratio(t: Tables) -> DataFrame:
+    return rounded(pf.information_ratio(an.active_returns(t.daily(), t.daily().withColumn("return_1d", F.col("return_1d") / 3))))
+
+
+@query
+def annualized_calendar(t: Tables) -> DataFrame:
+    return rounded(an.annualized_return_calendar(t.series(), t.daily().select("date", (F.month("date") != 12).alias("is_session"))), 7)
+
+
+@query
+def tracking_error(t: Tables) -> DataFrame:
+    own = t.nation_panel().select("id").distinct()
+    weights, bench = own.select("id", ((F.col("id") + 1) / 325.0).alias("weight")), own.select("id", F.lit(0.04).alias("weight"))
+    return rounded(pf.tracking_error(weights, bench, pf.sample_cov(ret(t.nation_panel()))), 6)
+
+
+@query
+def share_space_actions(t: Tables) -> DataFrame:
+    """A buy-and-hold book of one share value in which a split leaves the value and dividends pay cash."""
+    p = t.nation_month().select("date", "id", "close", F.lit(0.0).alias("return"), F.lit(0.0).alias("signal"))
+    first = p.agg(F.min("date")).first()[0]
+    dates = [r[0] for r in p.select("date").distinct().orderBy("date").collect()]  # a short axis
+    paid = t.nation_month().select("id").distinct().select(F.lit(dates[2]).alias("ex_date"), "id", F.lit("special_dividend").alias("action_type"), F.lit(None).cast("double").alias("split_ratio"), F.lit(0.5).alias("cash_amount"))
+    split = paid.withColumns({"ex_date": F.lit(dates[4]), "action_type": F.lit("split"), "split_ratio": F.lit(4.0), "cash_amount": F.lit(None).cast("double")})
+    flat = p.join(p.where(F.col("date") == first).select("id", F.col("close").alias("_c")), "id").withColumn("close", F.col("_c")).drop("_c")
+    cfg = bt.BacktestConfig(initial_cash=1e6, rebalance_dates=(first,), share_space=True, corporate_actions=True)
+    return rounded(bt.bar_backtest(flat, cfg, paid.unionByName(split)).where("kind = 'nav'").select("date", "nav"), 4)
+
+
+@query
+def generated_datasets(t: Tables) -> DataFrame:
+    """Every generated dataset against its declared schema: columns, repeated keys, and nulls where none may be."""
+    parts = []
+    for name, df in generate_all(t.spark).items():
+        s = schema_for(name, GenSpec().n_features)
+        nulls = sum((F.count_if(F.col(c.name).isNull()) for c in s.columns if not c.nullable), F.lit(0))
+        repeated = F.count(F.lit(1)) - F.count_distinct(F.struct(*s.keys))
+        parts.append(df.agg(F.lit(name).alias("dataset"), F.lit(len(df.columns)).cast("long").alias("n_columns"), (F.count(F.lit(1)) > 0).alias("has_rows"), repeated.alias("repeated_keys"), nulls.cast("long").alias("nulls")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- telemetry and streams -------------------------------------------------------------------------
 
 def _telemetry(t: Tables) -> DataFrame:

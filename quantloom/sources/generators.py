@@ -17,7 +17,9 @@ from ..functions.stats import clip, compound, running
 from .schema import schema_for
 
 # Names that the datasets use.
-SECTORS = ("Technology", "Financials", "Healthcare", "Industrials", "Consumer", "Energy")
+SECTORS = ("Tech", "Financials", "Energy", "Health", "Industrials", "Consumer")
+ACTION_TYPES = ("split", "cash_dividend", "special_dividend", "spinoff", "delisting")
+FEATURE_CATEGORIES = ("momentum", "value", "quality", "growth", "volatility")
 EXCHANGES = ("XNYS", "XNAS", "XLON", "XTKS")
 HORIZONS = (1, 5, 21, 63)
 STAGES = ("etl", "signals", "models", "portfolio", "backtest", "analysis", "profiling", "io", "report")
@@ -218,11 +220,11 @@ def corporate_actions(spark, spec):
     """About one event in a thousand cells, at least a tenth of the assets; one for each date, id and kind."""
     n = max(int(spec.n_assets * spec.n_dates * 0.001), spec.n_assets // 10, 1)
     e = spark.range(n).withColumnRenamed("id", "k")
-    e = e.select(_day(spec, F.floor(uniform(spec, "ca day", "k") * spec.n_dates)).alias("ex_date"), F.floor(uniform(spec, "ca id", "k") * spec.n_assets).alias("id"), pick(("split", "dividend", "spinoff", "delisting"), uniform(spec, "ca kind", "k")).alias("action_type"), "k")
+    e = e.select(_day(spec, F.floor(uniform(spec, "ca day", "k") * spec.n_dates)).alias("ex_date"), F.floor(uniform(spec, "ca id", "k") * spec.n_assets).alias("id"), pick(ACTION_TYPES, uniform(spec, "ca kind", "k")).alias("action_type"), "k")
     e = e.withColumn("_rn", F.row_number().over(Window.partitionBy("ex_date", "id", "action_type").orderBy("k"))).where("_rn = 1")
     return e.select(
         "ex_date", "id", "action_type", F.when(F.col("action_type") == "split", F.element_at(F.array(F.lit(2.0), F.lit(3.0), F.lit(0.5)), F.floor(uniform(spec, "ratio", "k") * 3).cast("int") + 1)).alias("split_ratio"),
-        F.when(F.col("action_type") == "dividend", 0.1 + uniform(spec, "cash", "k")).alias("cash_amount"), F.lit("USD").alias("currency"), F.when(F.col("action_type") == "spinoff", F.col("id") + spec.n_assets).alias("new_id"),
+        F.when(F.col("action_type").isin("cash_dividend", "special_dividend"), 0.1 + uniform(spec, "cash", "k")).alias("cash_amount"), F.lit("USD").alias("currency"), F.when(F.col("action_type") == "spinoff", F.col("id") + spec.n_assets).alias("new_id"),
     )
 
 
@@ -247,7 +249,7 @@ def fundamentals(spark, spec):
 
 
 def feature_metadata(spark, spec):
-    return spark.range(spec.n_features).select(F.concat(F.lit("feat_"), F.col("id")).alias("feature"), pick(("price", "fundamental", "sentiment"), uniform(spec, "category", "id")).alias("category"), (uniform(spec, "winsorize", "id") < 0.5).alias("winsorize"), (5 + 5 * F.col("id")).alias("lookback_days"))
+    return spark.range(spec.n_features).select(F.concat(F.lit("feat_"), F.col("id")).alias("feature"), pick(FEATURE_CATEGORIES, uniform(spec, "category", "id")).alias("category"), (uniform(spec, "winsorize", "id") < 0.5).alias("winsorize"), (5 + 5 * F.col("id")).alias("lookback_days"))
 
 
 def signal_registry(spark, spec):

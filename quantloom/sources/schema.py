@@ -65,47 +65,46 @@ def key_violations(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 # The columns of each dataset in order as name:type, with ? where null is allowed, and its keys.
-_TYPES = {"d": "date", "l": "bigint", "f": "double", "b": "boolean", "s": "string", "i": "int"}
 _DECLARED = {
-    "prices": ("date id", "date:d id:l open:f high:f low:f close:f vwap:f volume:f dollar_volume:f adv_20:f currency:s"),
-    "shares_outstanding": ("date id", "date:d id:l shares_outstanding:f market_cap:f"),
-    "universe_mask": ("date id", "date:d id:l in_universe:b tradable:b halted:b listed:b"),
-    "borrow_rates": ("date id", "date:d id:l borrow_rate_bps:f shortable:b loan_availability:f"),
-    "transaction_costs": ("date id", "date:d id:l commission_bps:f half_spread_bps:f impact_coef:f min_commission:f exchange_fee_bps:f"),
-    "specific_risk": ("date id", "date:d id:l specific_var:f"),
-    "factor_loadings": ("date id factor_id", "date:d id:l factor_id:l loading:f"),
-    "factor_returns": ("date factor_id", "date:d factor_id:l return:f"),
-    "factor_covariance": ("date factor_i factor_j", "date:d factor_i:l factor_j:l cov:f"),
-    "feature_panel": ("date id", "date:d id:l"),
-    "forward_returns": ("date id", "date:d id:l fwd_ret_1:f? fwd_ret_5:f? fwd_ret_21:f? fwd_ret_63:f?"),
-    "alpha_signals": ("date id signal_name", "date:d id:l signal_name:s signal:f"),
-    "sample_weights": ("date id", "date:d id:l weight:f"),
-    "risk_free_rate": ("date", "date:d annual_rate:f daily_rate:f"),
-    "benchmark_returns": ("date benchmark_id", "date:d benchmark_id:s return:f"),
-    "benchmark_weights": ("date id", "date:d id:l benchmark_weight:f"),
-    "fx_rates": ("date from_currency to_currency", "date:d from_currency:s to_currency:s rate:f"),
-    "trading_calendar": ("date exchange", "date:d exchange:s is_session:b is_half_day:b session_open:s session_close:s"),
-    "corporate_actions": ("ex_date id action_type", "ex_date:d id:l action_type:s split_ratio:f? cash_amount:f? currency:s new_id:l?"),
-    "security_master": ("id", "id:l ticker:s name:s sector:s industry:s country:s exchange:s currency:s lot_size:l listing_date:d delisting_date:d? is_active:b"),
-    "fundamentals": ("report_date knowledge_date id", "report_date:d knowledge_date:d id:l revenue:f net_income:f total_assets:f total_equity:f total_debt:f operating_cash_flow:f currency:s"),
-    "feature_metadata": ("feature", "feature:s category:s winsorize:b lookback_days:l"),
-    "signal_registry": ("signal_name", "signal_name:s family:s is_categorical:b intended_horizon:l"),
-    "position_constraints": ("id", "id:l min_weight:f max_weight:f tradable:b"),
-    "group_constraints": ("sector", "sector:s min_exposure:f max_exposure:f"),
-    "cv_splits_calendar": ("fold", "fold:l train_start:d train_end:d embargo_days:l test_start:d test_end:d"),
-    "profiling_runs": ("run_id", "run_id:s run_ts:d git_sha:s git_dirty:b hostname:s cpu_model:s n_cores:l total_ram_mb:f python_version:s polars_version:s numpy_version:s blas_threads:l trials:l warmup_trials:l"),
-    "stage_measurements": ("run_id param_point_id stage trial_idx", "run_id:s param_point_id:l n_assets:l n_dates:l n_features:l n_factors:l stage:s trial_idx:l elapsed_s:f result_mb:f rss_delta_mb:f peak_rss_mb:f peak_traced_mb:f"),
-    "stage_baselines": ("baseline_id param_point_id stage", "baseline_id:s param_point_id:l n_assets:l n_dates:l n_features:l n_factors:l stage:s elapsed_s_p50:f elapsed_s_p90:f result_mb:f peak_rss_mb:f source_run_id:s created_ts:d"),
-    "regression_thresholds": ("stage metric", "stage:s metric:s max_pct_increase:f max_abs_increase:f min_samples:l"),
-    "scaling_fits": ("run_id stage metric scaling_dim", "run_id:s stage:s metric:s scaling_dim:s log_log_slope:f intercept:f r_squared:f n_points:l"),
-    "cpu_profile_frames": ("run_id param_point_id stage function", "run_id:s param_point_id:l stage:s function:s filename:s lineno:l cumulative_s:f self_s:f call_count:l"),
-    "regime_states": ("date", "date:d regime_state:l"),
+    "prices": ("date id", "date:date id:bigint open:double high:double low:double close:double vwap:double volume:double dollar_volume:double adv_20:double currency:string"),
+    "shares_outstanding": ("date id", "date:date id:bigint shares_outstanding:double market_cap:double"),
+    "universe_mask": ("date id", "date:date id:bigint in_universe:boolean tradable:boolean halted:boolean listed:boolean"),
+    "borrow_rates": ("date id", "date:date id:bigint borrow_rate_bps:double shortable:boolean loan_availability:double"),
+    "transaction_costs": ("date id", "date:date id:bigint commission_bps:double half_spread_bps:double impact_coef:double min_commission:double exchange_fee_bps:double"),
+    "specific_risk": ("date id", "date:date id:bigint specific_var:double"),
+    "factor_loadings": ("date id factor_id", "date:date id:bigint factor_id:bigint loading:double"),
+    "factor_returns": ("date factor_id", "date:date factor_id:bigint return:double"),
+    "factor_covariance": ("date factor_i factor_j", "date:date factor_i:bigint factor_j:bigint cov:double"),
+    "feature_panel": ("date id", "date:date id:bigint"),
+    "forward_returns": ("date id", "date:date id:bigint fwd_ret_1:double? fwd_ret_5:double? fwd_ret_21:double? fwd_ret_63:double?"),
+    "alpha_signals": ("date id signal_name", "date:date id:bigint signal_name:string signal:double"),
+    "sample_weights": ("date id", "date:date id:bigint weight:double"),
+    "risk_free_rate": ("date", "date:date annual_rate:double daily_rate:double"),
+    "benchmark_returns": ("date benchmark_id", "date:date benchmark_id:string return:double"),
+    "benchmark_weights": ("date id", "date:date id:bigint benchmark_weight:double"),
+    "fx_rates": ("date from_currency to_currency", "date:date from_currency:string to_currency:string rate:double"),
+    "trading_calendar": ("date exchange", "date:date exchange:string is_session:boolean is_half_day:boolean session_open:string session_close:string"),
+    "corporate_actions": ("ex_date id action_type", "ex_date:date id:bigint action_type:string split_ratio:double? cash_amount:double? currency:string new_id:bigint?"),
+    "security_master": ("id", "id:bigint ticker:string name:string sector:string industry:string country:string exchange:string currency:string lot_size:bigint listing_date:date delisting_date:date? is_active:boolean"),
+    "fundamentals": ("report_date knowledge_date id", "report_date:date knowledge_date:date id:bigint revenue:double net_income:double total_assets:double total_equity:double total_debt:double operating_cash_flow:double currency:string"),
+    "feature_metadata": ("feature", "feature:string category:string winsorize:boolean lookback_days:bigint"),
+    "signal_registry": ("signal_name", "signal_name:string family:string is_categorical:boolean intended_horizon:bigint"),
+    "position_constraints": ("id", "id:bigint min_weight:double max_weight:double tradable:boolean"),
+    "group_constraints": ("sector", "sector:string min_exposure:double max_exposure:double"),
+    "cv_splits_calendar": ("fold", "fold:bigint train_start:date train_end:date embargo_days:bigint test_start:date test_end:date"),
+    "profiling_runs": ("run_id", "run_id:string run_ts:date git_sha:string git_dirty:boolean hostname:string cpu_model:string n_cores:bigint total_ram_mb:double python_version:string polars_version:string numpy_version:string blas_threads:bigint trials:bigint warmup_trials:bigint"),
+    "stage_measurements": ("run_id param_point_id stage trial_idx", "run_id:string param_point_id:bigint n_assets:bigint n_dates:bigint n_features:bigint n_factors:bigint stage:string trial_idx:bigint elapsed_s:double result_mb:double rss_delta_mb:double peak_rss_mb:double peak_traced_mb:double"),
+    "stage_baselines": ("baseline_id param_point_id stage", "baseline_id:string param_point_id:bigint n_assets:bigint n_dates:bigint n_features:bigint n_factors:bigint stage:string elapsed_s_p50:double elapsed_s_p90:double result_mb:double peak_rss_mb:double source_run_id:string created_ts:date"),
+    "regression_thresholds": ("stage metric", "stage:string metric:string max_pct_increase:double max_abs_increase:double min_samples:bigint"),
+    "scaling_fits": ("run_id stage metric scaling_dim", "run_id:string stage:string metric:string scaling_dim:string log_log_slope:double intercept:double r_squared:double n_points:bigint"),
+    "cpu_profile_frames": ("run_id param_point_id stage function", "run_id:string param_point_id:bigint stage:string function:string filename:string lineno:bigint cumulative_s:double self_s:double call_count:bigint"),
+    "regime_states": ("date", "date:date regime_state:bigint"),
 }
 
 
 def _schema(name: str) -> Schema:
     keys, columns = _DECLARED[name]
-    return Schema(name, tuple(Column(*(c.split(":")[0], _TYPES[c.split(":")[1][0]], c.endswith("?"))) for c in columns.split()), tuple(keys.split()))
+    return Schema(name, tuple(Column(c.split(":")[0], c.split(":")[1].rstrip("?"), c.endswith("?")) for c in columns.split()), tuple(keys.split()))
 
 
 REGISTRY: dict[str, Schema] = {name: _schema(name) for name in _DECLARED}

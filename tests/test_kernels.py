@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import linalg, stats
 from quantloom.functions.qp import Constraints, Factored, solve
 from quantloom.operators import backtest as bt
+from quantloom.operators import cleaning as cl
 from quantloom.operators import models as mo
 from quantloom.operators import signals as sg
 
@@ -150,7 +151,7 @@ def test_weight_space_equals_bar_by_bar(spark):
 def test_share_space_books_balance(spark):
     _, _, _, df = _market(spark)
     panel = df.withColumns({"close": F.lit(50.0), "adv_20": F.lit(1e7), "impact_coef": F.lit(5.0), "half_spread_bps": F.lit(2.0)})
-    actions = spark.createDataFrame([(pd.Timestamp("2021-01-20").date(), 1, "split", 2.0, None), (pd.Timestamp("2021-01-25").date(), 2, "dividend", None, 0.5)], "ex_date date, id long, action_type string, split_ratio double, cash_amount double")
+    actions = spark.createDataFrame([(pd.Timestamp("2021-01-20").date(), 1, "split", 2.0, None), (pd.Timestamp("2021-01-25").date(), 2, "cash_dividend", None, 0.5)], "ex_date date, id long, action_type string, split_ratio double, cash_amount double")
     cfg = bt.BacktestConfig(rebalance_every=10, share_space=True, execution_lag=1, transaction_costs=True, slippage=True, corporate_actions=True, cash_interest_rate=0.01)
     log = bt.bar_backtest(panel, cfg, actions).toPandas()
     nav = log[log["kind"] == "nav"]["nav"]
@@ -168,3 +169,44 @@ def test_newey_west(spark):
     assert r.t_stat == pytest.approx(e.mean() / np.sqrt(v / 60))
     flat = sg.newey_west(ic.withColumn("ic", F.lit(0.5)), 2).first()
     assert flat.t_stat == 0.0
+
+
+def test_splitters_by_hand():
+    """Worked by hand on 20 dates: equal steps, the purged splitter's last fold with what is left."""
+    days = [pd.Timestamp("2021-01-01").date() + pd.Timedelta(days=t) for t in range(20)]
+    at = lambda folds: [(days.index(c), days.index(d)) for _, _, _, c, d in folds]
+    ends = lambda folds: [(days.index(a), days.index(b)) for _, a, b, _, _ in folds]
+    assert at(mo.PurgedSplitter(3, 0).split(days)) == [(0, 5), (6, 11), (12, 19)]
+    walk = mo.WalkForwardSplitter(3, 2, 5).split(days)
+    assert at(walk) == [(7, 11), (12, 16), (17, 19)] and ends(walk) == [(0, 4), (0, 9), (0, 14)]
+    roll = mo.RollingSplitter(3, 1, 8).split(days)
+    assert at(roll) == [(9, 12), (13, 16), (17, 19)] and ends(roll) == [(0, 7), (4, 11), (8, 15)]
+    assert mo.PurgedSplitter(2, 3).split(days)[1][2] == days[6]
+    for bad in (mo.PurgedSplitter(1, 0), mo.PurgedSplitter(21, 0), mo.WalkForwardSplitter(3, 0, 18), mo.RollingSplitter(6, 0, 15), mo.WalkForwardSplitter(1, 0, 5)):
+        with pytest.raises(ValueError):
+            bad.split(days)
+
+
+def test_dividends_and_odd_actions(spark):
+    prices = spark.createDataFrame([(pd.Timestamp(f"2021-01-0{d}").date(), i, 100.0) for d in (4, 5, 6) for i in (1, 2, 3)], "date date, id long, close double")
+    day = pd.Timestamp("2021-01-06").date()
+    actions = [(day, 1, "cash_dividend", None, 25.0), (day, 2, "special_dividend", None, 25.0), (day, 3, "cash_dividend", None, -5.0), (day, 3, "special_dividend", None, None), (day, 3, "split", 0.0, None), (day, 9, "split", 2.0, None)]
+    out, log = cl.adjust_prices(prices, spark.createDataFrame(actions, "ex_date date, id long, action_type string, split_ratio double, cash_amount double"))
+    got = {(r.date.day, r.id): round(r.adj_close, 9) for r in out.collect()}
+    assert all(got[d, i] == (80.0 if d < 6 and i < 3 else 100.0) for d in (4, 5, 6) for i in (1, 2, 3)) and log.count() == 2
+
+
+def test_bars_by_hand(spark):
+    """Two ids, two bars: financing looks to the next date, the log has every id by the value after costs, and a bar of
+    shares is valued by its own close or by the one that its return leads to."""
+    days = [pd.Timestamp("2021-01-04"), pd.Timestamp("2021-01-06")]
+    panel = pd.DataFrame([(d, i, 10.0, 0.0, 50.0) for d in days for i in (0, 1)], columns=["date", "id", "return", "signal", "close"])
+    run = lambda **kw: dict(bt.simulate(panel.assign(**kw.pop("side", {})), bt.BacktestConfig(initial_cash=1000.0, **kw)))
+    out = run(rebalance_every=2, transaction_costs=True, side={"commission_bps": 100.0})
+    assert out["trades"]["quantity"].tolist() == pytest.approx([0.5 * 990, 0.5 * 990]) and out["nav"]["nav"].tolist() == pytest.approx([990 * 1.1, 990 * 1.1**2])
+    out = run(rebalance_every=2, financing=True, funding_rate_annual=0.1, max_gross=2.0, min_weight=1.0)
+    first = 1000 * 1.2 - (2.0 * 1.1 / 2.2 - 1.0) * 1200 * 0.1 * 2 / 365
+    assert out["nav"]["nav"].iloc[0] == pytest.approx(first)
+    assert run(share_space=True)["nav"]["nav"].tolist() == pytest.approx([1000.0, 1100.0])
+    assert run(share_space=True, mark_at_close=False)["nav"]["nav"].tolist() == pytest.approx([1100.0, 1210.0])
+    assert run(max_weight=0.4, side={"max_weight": [0.1, np.nan, 0.1, np.nan]})["trades"]["quantity"].tolist() == pytest.approx([100.0, 400.0])
