@@ -1,5 +1,9 @@
 """From raw documents to packed sequences: toxic and near-duplicate documents go, contaminated ones
-too, personal data is masked, and the rest is packed."""
+too, personal data is masked, and the rest is packed.
+
+Every stage works on all rows that it is given and returns none for an empty table.  All but the last keep the
+columns, also extra ones; nulls in other columns than ``doc_id`` and ``text`` pass through.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +14,31 @@ from quantloom.llm import contracts, decontaminate, ngram_join, packing, pii, to
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of one half or more go; the model is fitted on the training labels."""
+    """Documents with a toxicity score of one half or more go; the model is fitted on the training labels.  Null and
+    empty texts stay, repeated rows are judged each."""
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), contracts.training_labels(spark, sf_dir))
     return toxicity.accepted(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (five words, similarity 0.8) the smallest doc_id stays."""
+    """Of each class of near-duplicates (five words, similarity 0.8) the smallest doc_id stays (a null one is the
+    largest), of equal rows one.  Null and empty texts are like nothing and stay."""
     return ngram_join.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words at least are passages of the benchmark go."""
+    """Documents of which a twentieth of the words at least are passages of the benchmark go.  Null and empty texts
+    stay, repeated rows are judged each."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets, in whole texts of any length; a null text stays null."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens; a null or empty text is its end token, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
