@@ -185,8 +185,8 @@ def gross_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestConfig =
 def weight_space_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestConfig = BacktestConfig(), costs: DataFrame | None = None, adv: DataFrame | None = None, mask: DataFrame | None = None, bounds: DataFrame | None = None) -> BacktestResult:
     """Value with costs and slippage charged at each rebalance.
 
-    Per date the panel reduces to its return, linear cost, and arrays for what is not linear in the value:
-    commissions with their minimum and the square-root impact.  One fold over the dates gives the value.
+    Per date the panel reduces to its return, linear cost, square-root impact, the sum of the commissions without a
+    minimum, and an array of those with one.  One fold over the dates gives the value.
     """
     held = held_weights(apply_constraints(softmax_weights(signals), cfg, mask, bounds), returns, rebalance_axis(returns, cfg)).withColumn("delta", F.when(F.col("rebal"), F.coalesce("target", F.lit(0.0)) - F.col("before")).otherwise(0.0))
     names = ("commission_bps", "half_spread_bps", "exchange_fee_bps", "min_commission", "impact_coef")
@@ -195,18 +195,20 @@ def weight_space_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestC
     held = held.na.fill(0.0, [*names, "adv_20"])
     a, on, slip = F.abs("delta"), F.lit(float(cfg.transaction_costs)), F.lit(float(cfg.slippage))
     impact = F.lit(cfg.impact_coef) if cfg.impact_coef is not None else F.col("impact_coef")
+    plain = (F.col("min_commission") == 0) & (F.col("commission_bps") >= 0)  # a plain sum for each date
     day = held.groupBy("date", "t").agg(
         F.sum(F.col("held") * F.coalesce("return", F.lit(0.0)) / 100).alias("r"),
         F.sum(a * (F.col("half_spread_bps") + F.col("exchange_fee_bps")) * on / 1e4 + F.when(F.col("adv_20") > 0, 0.0).otherwise(a * FALLBACK_BPS * slip / 1e4)).alias("lin"),
         F.sum(F.when(F.col("adv_20") > 0, F.pow(a, 1.5) * impact / F.sqrt(F.col("adv_20")) * slip / 1e4).otherwise(0.0)).alias("root"),
-        F.collect_list(F.when((a > 0) & (on > 0), F.struct((a * F.col("commission_bps") / 1e4).alias("m"), F.col("min_commission").alias("f")))).alias("c"),
+        F.sum(F.when(plain, a * F.col("commission_bps") * on / 1e4).otherwise(0.0)).alias("com"),
+        F.collect_list(F.when((a > 0) & (on > 0) & ~plain, F.struct((a * F.col("commission_bps") / 1e4).alias("m"), F.col("min_commission").alias("f")))).alias("c"),
     )
     fold = F.aggregate(
         F.col("days"), F.struct(F.lit(float(cfg.initial_cash)).alias("nav"), F.array().cast("array<struct<date:date,nav:double,start:double,cost:double>>").alias("out")),
         lambda s, d: _step(s, d),
         lambda s: s["out"],
     )
-    path = day.agg(F.array_sort(F.collect_list(F.struct("t", "date", "r", "lin", "root", "c"))).alias("days")).select(F.inline(fold))
+    path = day.agg(F.array_sort(F.collect_list(F.struct("t", "date", "r", "lin", "root", "com", "c"))).alias("days")).select(F.inline(fold))
     trades = held.where("rebal").join(path.select("date", (F.col("start") - F.col("cost")).alias("_v")), "date").select("date", "id", (F.col("delta") * F.col("_v")).alias("quantity"))
     last = held.join(F.broadcast(held.agg(F.max("t").alias("t"))), "t").select("id", F.col("held").alias("weight"))  # one row
     return BacktestResult(path.select("date", "nav"), trades, last)
@@ -214,7 +216,7 @@ def weight_space_backtest(returns: DataFrame, signals: DataFrame, cfg: BacktestC
 
 def _step(s: Column, d: Column) -> Column:
     start = s["nav"]
-    commission = F.aggregate(d["c"], F.lit(0.0), lambda t, x: t + F.greatest(start * x["m"], x["f"]))
+    commission = F.aggregate(d["c"], F.greatest(start, F.lit(0.0)) * d["com"], lambda t, x: t + F.greatest(start * x["m"], x["f"]))
     cost = start * d["lin"] + F.pow(start, F.lit(1.5)) * d["root"] + commission
     after = (start - cost) * (1 + d["r"])
     return F.struct(after.alias("nav"), F.concat(s["out"], F.array(F.struct(d["date"].alias("date"), after.alias("nav"), start.alias("start"), cost.alias("cost")))).alias("out"))

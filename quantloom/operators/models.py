@@ -122,15 +122,16 @@ def fold_rows(panel: DataFrame, folds: DataFrame) -> DataFrame:
 
 # --- moments ---------------------------------------------------------------------------------------
 
-def date_moments(panel: DataFrame, cols: list[str]) -> DataFrame:
-    """(date, n, w, wy, wyy, wx_i, wxy_i, wxx_i_j, x_i, xx_i): all that a ridge needs, one row for each date."""
+def date_moments(panel: DataFrame, cols: list[str], *by: str) -> DataFrame:
+    """(date, n, w, wy, wyy, wx_i, wxy_i, wxx_i_j, x_i, xx_i): all that a ridge needs, one row for each date, or by
+    other columns."""
     w, y = F.col("weight"), F.col("y")
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy"), F.sum(y).alias("y"), F.sum(y * y).alias("yy")]
     for i, a in enumerate(cols):
         x = F.col(a)
         aggs += [F.sum(w * x).alias(f"wx_{i}"), F.sum(w * x * y).alias(f"wxy_{i}"), F.sum(x).alias(f"x_{i}"), F.sum(x * x).alias(f"xx_{i}")]
         aggs += [F.sum(w * x * F.col(cols[j])).alias(f"wxx_{i}_{j}") for j in range(i, len(cols))]
-    return panel.groupBy("date").agg(*aggs)
+    return panel.groupBy(*(by or ("date",))).agg(*aggs)
 
 
 @dataclass
@@ -198,13 +199,19 @@ class WalkForwardResult:
     extra: dict = field(default_factory=dict)
 
 
-def _moments_after(panel: DataFrame, cols: list[str], start, end, skip_rows: int | None) -> tuple[DataFrame, DataFrame]:
-    """Per-date moments of a training window split by row count in (date, id) order: the first rows and the rest."""
-    train = panel.where(F.col("date").between(F.lit(start), F.lit(end)))
-    size = train.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = train.join(F.broadcast(size.select("date", "_before")), "date").withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy("date").orderBy("id")))
-    first = F.col("_k") <= skip_rows
-    return date_moments(rows.where(first), cols), date_moments(rows.where(~first), cols)
+def _cut_moments(panel: DataFrame, cols: list[str], cuts: list[tuple]) -> pd.DataFrame:
+    """Moments of single dates cut by row count: cuts are (fold, date, rows), and of each the first rows by id and the
+    others give one row each.  Only these dates are read, for all folds at once."""
+    at = panel.sparkSession.createDataFrame(cuts, "fold int, date date, _rows long")
+    rows = panel.join(F.broadcast(at), "date").withColumn("_first", F.row_number().over(Window.partitionBy("fold").orderBy("id")) <= F.col("_rows"))
+    return date_moments(rows, cols, "fold", "_first").toPandas()  # at most two rows for each fold
+
+
+def _inner_cut(train: pd.DataFrame, rows: int) -> tuple[int, int]:
+    """Where a window's first rows end: the position of the date that they end in, and how many of its rows are theirs."""
+    upto = train["n"].cumsum().to_numpy()
+    at = int(np.searchsorted(upto, rows, "right"))
+    return at, rows - int(upto[at - 1] if at else 0)
 
 
 def walk_forward_ridge(panel: DataFrame, splitter, cfg: WalkForwardConfig = WalkForwardConfig(), cols: list[str] | None = None) -> WalkForwardResult:
@@ -216,18 +223,21 @@ def walk_forward_ridge(panel: DataFrame, splitter, cfg: WalkForwardConfig = Walk
     cols = cols or [c for c in panel.columns if c not in (*KEY, "y", "weight")]
     p, spark = len(cols), panel.sparkSession
     panel = panel.select(*KEY, *cols, "y", "weight").persist()
-    moments = date_moments(panel, cols).toPandas()  # one row for each date
-    dates = sorted(moments["date"])
+    moments = date_moments(panel, cols).toPandas().sort_values("date", ignore_index=True)  # one row for each date
+    windows = [(fold, moments[(moments["date"] >= a) & (moments["date"] <= b)], c, d) for fold, a, b, c, d in splitter.split(list(moments["date"])) if a]
+    windows = [w for w in windows if w[1]["n"].sum() > 1]
+    cuts = {fold: _inner_cut(train, int(train["n"].sum() * (1 - cfg.inner_share))) for fold, train, _, _ in windows}
+    inside = [(fold, train["date"].iloc[cuts[fold][0]], cuts[fold][1]) for fold, train, _, _ in windows if cuts[fold][0] < len(train)]
+    partial = _cut_moments(panel, cols, inside) if len(cfg.alphas) > 1 and inside else None
     rows = []
-    for fold, a, b, c, d in splitter.split(dates):
-        train = moments[(moments["date"] >= a) & (moments["date"] <= b)] if a else moments[:0]
-        if not len(train) or train["n"].sum() <= 1:
-            continue
+    for fold, train, c, d in windows:
         m = Moments.of(train, p)
         mean, scale = m.scaling(cfg.scale)
         alpha = cfg.alphas[0]
-        if len(cfg.alphas) > 1:
-            inner, rest = (x.toPandas() for x in _moments_after(panel, cols, a, b, int(m.n * (1 - cfg.inner_share))))
+        if partial is not None:
+            at, mine = cuts[fold][0], partial[partial["fold"] == fold]
+            first = mine["_first"].astype(bool)
+            inner, rest = pd.concat([train.iloc[:at], mine[first]]), pd.concat([train.iloc[at + 1 :], mine[~first]])
             if len(inner) and len(rest):
                 fit, held = Moments.of(inner, p), Moments.of(rest, p)
                 alpha = max(cfg.alphas, key=lambda x: held.r2(*fit.ridge(x, mean, scale)))
@@ -326,16 +336,23 @@ def ridge(cols: list[str], alpha: float = 1.0, scale: bool = False):
 
 
 def cv_loop(panel: DataFrame, cols: list[str], n_splits: int = 5, alpha: float = 1.0) -> pd.DataFrame:
-    """(fold, r2) of a ridge over contiguous folds of rows in (date, id) order.  Moments of each (date, fold) part
-    come from one scan."""
-    size = panel.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = panel.count()
-    edges = [b for _, b in _edges(total, n_splits)]
-    k = F.col("_before") + F.row_number().over(Window.partitionBy("date").orderBy("id"))
-    fold = reduce(lambda e, i: e + (F.col("_k") > edges[i]).cast("int"), range(n_splits - 1), F.lit(0))
-    rows = panel.join(F.broadcast(size.select("date", "_before")), "date").withColumn("_k", k).withColumn("fold", fold)
-    parts = [(f, Moments.of(date_moments(rows.where(F.col("fold") == f), cols).toPandas(), len(cols)), Moments.of(date_moments(rows.where(F.col("fold") != f), cols).toPandas(), len(cols))) for f in range(n_splits)]
-    return pd.DataFrame([(f, test.r2(*train.ridge(alpha, *train.scaling(False)))) for f, test, train in parts], columns=["fold", "r2"])
+    """(fold, r2) of a ridge over contiguous folds of rows in (date, id) order, the larger ones first.  The moments of
+    all folds come from one scan; a fold's training sums are those of the others."""
+    size = panel.where("date is not null").groupBy("date").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("date")  # a short axis
+    total, p = int(size["n"].sum()), len(cols)
+    if not 2 <= n_splits <= total:
+        raise ValueError(f"{n_splits} folds of {total} rows")
+    ends = np.cumsum([total // n_splits + (f < total % n_splits) for f in range(n_splits)]).tolist()
+    before = (size["n"].cumsum() - size["n"]).tolist()
+    at = panel.sparkSession.createDataFrame(list(zip(size["date"], before, strict=True)), "date date, _before long")
+    rows = panel.join(F.broadcast(at), "date").withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy("date").orderBy("id")))
+    fold = reduce(lambda e, end: e + (F.col("_k") > end).cast("int"), ends[:-1], F.lit(0))
+    moments = date_moments(rows.withColumn("fold", fold), cols, "fold").toPandas()  # one row for each fold
+    out = []
+    for f in range(n_splits):
+        train, test = Moments.of(moments[moments["fold"] != f], p), Moments.of(moments[moments["fold"] == f], p)
+        out.append((f, test.r2(*train.ridge(alpha, *train.scaling(False)))))
+    return pd.DataFrame(out, columns=["fold", "r2"])
 
 
 def compare_models(panel: DataFrame, splitter, learners: dict[str, Callable]) -> pd.DataFrame:

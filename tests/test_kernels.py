@@ -26,6 +26,9 @@ def test_kendall_counts_pairs():
             c, tx, ty = c + a * b, tx + (a != 0), ty + (b != 0)
         assert linalg.kendall_tau_b(x, y) == pytest.approx(c / np.sqrt(tx * ty))
     assert np.isnan(linalg.kendall_tau_b(np.ones(5), np.arange(5.0)))
+    for n in (0, 1, 2, 33, 257):
+        r = RNG.integers(0, 40, n)
+        assert linalg.inversions(r) == sum(a > b for a, b in itertools.combinations(r.tolist(), 2))
 
 
 def test_p_value_column_matches(spark):
@@ -106,12 +109,53 @@ def test_walk_forward_matches_direct_ridge(spark):
         assert have.loc[list(zip(te["date"], te["id"], strict=True))].to_numpy() == pytest.approx(want)
 
 
+def test_penalty_by_the_last_rows(spark):
+    """The cut falls within a date (0.17 of 120, 180, ... rows by 12 a date) or on its edge (0.2, 0.5)."""
+    p, df = _panel(spark)
+    p = p.sort_values(["date", "id"])
+    for share in (0.17, 0.2, 0.5, 0.0):
+        splitter, alphas = mo.WalkForwardSplitter(3, 2, 10), (0.01, 5.0, 500.0)
+        got = mo.walk_forward_ridge(df, splitter, mo.WalkForwardConfig(alphas, inner_share=share)).folds["alpha"].tolist()
+        want = []
+        for _, a, b, _, _ in splitter.split(sorted(p["date"].unique())):
+            tr = p[(p["date"] >= a) & (p["date"] <= b)]
+            x, y, w, k = tr[["x1", "x2"]].to_numpy(), tr["y"].to_numpy(), tr["weight"].to_numpy(), int(len(tr) * (1 - share))
+            z = (x - x.mean(axis=0)) / x.std(axis=0)
+
+            def r2(alpha):
+                zm, ym = np.average(z[:k], axis=0, weights=w[:k]), np.average(y[:k], weights=w[:k])
+                zc = z[:k] - zm
+                beta = np.linalg.solve((zc * w[:k, None]).T @ zc + alpha * np.eye(2), (zc * w[:k, None]).T @ (y[:k] - ym))
+                e = y[k:] - ym - (z[k:] - zm) @ beta
+                return 1 - (w[k:] * e**2).sum() / (w[k:] * (y[k:] - np.average(y[k:], weights=w[k:])) ** 2).sum()
+
+            want.append(max(alphas, key=r2) if k < len(tr) else alphas[0])
+        assert got == want
+
+
 def test_other_learners_and_comparison(spark):
     _, df = _panel(spark, 30, 8)
     s = mo.WalkForwardSplitter(2, 1, 10)
     table = mo.compare_models(df, s, {"ridge": mo.ridge(["x1", "x2"]), "net": mo.elastic_net(["x1", "x2"]), "trees": mo.gradient_boost(["x1", "x2"], iterations=5, leaf=5)})
     assert set(table["model"]) == {"ridge", "net", "trees"} and (table["mean_ic"] > 0.5).all()
-    assert (mo.cv_loop(df, ["x1", "x2"], 3)["r2"] > 0.8).all()
+
+
+def test_folds_of_rows(spark):
+    """Seven folds of 240 rows: sizes 35, 35, 34, ...; each against a direct ridge on the other rows."""
+    p, df = _panel(spark, 30, 8)
+    p = p.sort_values(["date", "id"])
+    x, y, w = p[["x1", "x2"]].to_numpy(), p["y"].to_numpy(), p["weight"].to_numpy()
+    want = []
+    for test in np.array_split(np.arange(240), 7):
+        train = np.setdiff1d(np.arange(240), test)
+        xm, ym = np.average(x[train], axis=0, weights=w[train]), np.average(y[train], weights=w[train])
+        z, v = x[train] - xm, w[train]
+        beta = np.linalg.solve((z * v[:, None]).T @ z + np.eye(2), (z * v[:, None]).T @ (y[train] - ym))
+        e, d = y[test] - ym - (x[test] - xm) @ beta, y[test] - np.average(y[test], weights=w[test])
+        want.append(1 - (w[test] * e**2).sum() / (w[test] * d**2).sum())
+    assert mo.cv_loop(df, ["x1", "x2"], 7)["r2"].tolist() == pytest.approx(want)
+    with pytest.raises(ValueError):
+        mo.cv_loop(df, ["x1", "x2"], 241)
 
 
 def test_artifact_round_trip(spark, tmp_path):
@@ -135,7 +179,7 @@ def _market(spark, n_dates=45, n_ids=6):
 def test_weight_space_equals_bar_by_bar(spark):
     _, _, _, df = _market(spark)
     cfg = bt.BacktestConfig(rebalance_every=7, max_weight=0.3, transaction_costs=True, slippage=True)
-    costs = df.select("date", "id", F.lit(1.5).alias("commission_bps"), F.lit(2.0).alias("half_spread_bps"), F.lit(0.3).alias("exchange_fee_bps"), F.lit(30.0).alias("min_commission"), F.lit(8.0).alias("impact_coef"))
+    costs = df.select("date", "id", F.lit(1.5).alias("commission_bps"), F.lit(2.0).alias("half_spread_bps"), F.lit(0.3).alias("exchange_fee_bps"), F.when(F.col("id") % 2 == 0, 30.0).otherwise(0.0).alias("min_commission"), F.lit(8.0).alias("impact_coef"))
     adv = df.select("date", "id", F.when(F.col("id") == 0, 0.0).otherwise(1e6).alias("adv_20"))
     fast = bt.weight_space_backtest(df, df, cfg, costs, adv)
     panel = df.join(costs, ["date", "id"]).join(adv, ["date", "id"])
