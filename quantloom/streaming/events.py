@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +20,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def drain(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now; the result as a table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now; the result as a table.
+
+    The folder holds the checkpoint and each batch as Parquet under its number: a batch that is run again replaces
+    itself, and no rows pass the driver.  Without any batch the table is empty.
+    """
+    done: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        done.append(f"{folder}/rows/{number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    paths = done[-1:] if mode == "complete" else done
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:

@@ -8,6 +8,7 @@ from quantloom.plans.pipeline import INPUTS, StrategySpec, run_production_pipeli
 from quantloom.sources import generators as g
 from quantloom.sources.loader import DatasetLoader
 from quantloom.sources.schema import REGISTRY, SchemaError, schema_for
+from quantloom.streaming import events as ev
 
 SPEC = g.GenSpec(12, 70, 4, 3, seed=5)
 
@@ -89,3 +90,14 @@ def test_drawdown_events_take_the_earliest_trough(spark):
     nav = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 1, 1.5, 1, 2, 3, 2.5])], "date int, nav double")
     e = an.drawdown_events(nav).orderBy("peak_date").collect()
     assert [(r.peak_date, r.trough_date, r.recovery_date) for r in e] == [(1, 2, 5), (6, 7, None)] and e[0].recovery_days == 3
+
+
+def test_drain_keeps_batches(spark, tmp_path):
+    """Two files are two batches: appended both stay, complete leaves the last; a second run has nothing new."""
+    for i in (1, 2):
+        spark.range(10 * i).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    assert ev.drain(stream, str(tmp_path / "a"), "append").count() == 30
+    assert ev.drain(stream, str(tmp_path / "a"), "append").count() == 0
+    n = ev.drain(stream.groupBy((F.col("id") % 2).alias("odd")).count(), str(tmp_path / "b"))
+    assert sorted(map(tuple, n.collect())) == [(0, 15), (1, 15)]
