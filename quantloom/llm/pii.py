@@ -35,7 +35,7 @@ PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.9, "aba":
 #: Added to the score for a context word within NEAR characters; an added kind needs LEAST.
 BOOST, NEAR, LEAST = 0.3, 40, 0.5
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -97,12 +97,11 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
     """As the one pattern local@domain would match from the left, in linear time: each @ is looked at once."""
     done, at = 0, text.find("@")
     while at >= 0:
-        # Local parts are found backwards in growing steps, since a run may be long.
-        step, start = 64, at
-        while start == at or start > done:
+        # Local parts are read backwards in growing steps, since a run may be long.
+        step = 64
+        while True:
             low = max(done, at - step)
-            run = _LOCAL.search(text[low:at])
-            start = low + run.start() if run else at
+            start = at - _LOCAL.match(text[low:at][::-1]).end()
             if start > low or low == done:
                 break
             step *= 4

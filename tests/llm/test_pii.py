@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 from conftest_llm import rows
@@ -27,6 +28,13 @@ def test_base_spans_match_plain_patterns(real, odd):
         assert sorted(pii.base_spans(text)) == brute(text), text
 
 
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000 + " " + "b" * 200_000 + "@c.d", ("a" * 5_000 + " ") * 40 + "b" * 190_000 + "@c.d"):
+        began = time.perf_counter()
+        assert pii.base_spans(text) == [(text.rindex(" ") + 1, len(text), 0)]
+        assert time.perf_counter() - began < 5
+
+
 def test_query(spark, sf, real):
     got = {r.doc_id: r for r in contracts.op3_pii(spark, sf).collect()}
     names = ("email", "ip", "card", "phone")
