@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SPACED, Words, flat, mix, partitions, sequence_hash, spread
+from ._text import SPACED, Words, chunks, flat, keep, mix, partitions, sequence_hash, spread
 
 #: Cells of a fingerprint, in three equal parts; larger sketches are used only to compare.
 CELLS = 24
@@ -114,10 +114,10 @@ class Sketch:
         return [base64.b64encode(h.tobytes() + row.tobytes()).decode() for h, row in zip(heads, a, strict=True)]
 
 
-def difference(a: Digests, b: Digests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def difference(a: Digests, b: Digests) -> tuple[Digests, Digests, np.ndarray]:
     """For each pair of texts: digests only in the first, only in the second, and cells that it took."""
     n, cells = len(a.count), CELLS
-    only, took = np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+    took, out = np.zeros(n, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     open_ = np.arange(n)
     while len(open_):
         local = np.full(n, -1, np.int64)
@@ -126,23 +126,50 @@ def difference(a: Digests, b: Digests) -> tuple[np.ndarray, np.ndarray, np.ndarr
         for d, sign in ((a, 1), (b, -1)):
             sel = local[d.text] >= 0 if len(d.text) else np.zeros(0, bool)
             s.add(local[d.text[sel]], d.key[sel], sign)
-        text, _, sign, whole = s.peel()
-        for i, v in enumerate((1, -1)):
-            found = np.bincount(text[sign == v], minlength=len(open_))
-            only[i, open_[whole]] = found[whole]
+        text, key, sign, whole = s.peel()
+        done = whole[text]
+        out.append((open_[text[done]], key[done], sign[done]))
         took[open_[whole]] = cells
         open_, cells = open_[~whole], cells * 4
-    return only[0], only[1], took
+    text, key, sign = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((key, text))
+    text, key, sign = text[order], key[order], sign[order]
+    one, other = (Digests(text[sign == v], key[sign == v], np.bincount(text[sign == v], minlength=n)) for v in (1, -1))
+    return one, other, took
 
 
 def likeness(a: Digests, b: Digests) -> np.ndarray:
     """Share of common digests among all of both texts, from the peeled difference; 1 for two empty texts."""
-    x, y, _ = difference(a, b)
+    x, y = (d.count for d in difference(a, b)[:2])
     common = a.count - x
     union = common + x + y
     return np.where(union > 0, common / np.maximum(union, 1), 1.0)
 
 
+def changes(pairs: DataFrame) -> DataFrame:
+    """doc_id, dropped, added array<long>, cells long: the paragraph digests that only the ``old`` or only the ``new``
+    text of each row has, ascending, and the size of the sketch that gave them.
+
+    A null text counts as empty; a null doc_id stays null; repeated rows are compared each; an empty table gives no
+    rows.  Only ``doc_id``, ``old`` and ``new`` are read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, _, _ in chunks(batches, "old"):
+            for part, data, off in chunks(iter([some]), "new"):
+                one, other, took = difference(digests(*flat(part.column(1))), digests(data, off))
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(one), _lists(other), pa.array(took)], ["doc_id", "dropped", "added", "cells"])
+
+    return keep(pairs, "doc_id", "old", "new").mapInArrow(run, "doc_id long, dropped array<long>, added array<long>, cells long")
+
+
+def _lists(d: Digests) -> pa.Array:
+    """The digests of each text as signed numbers, ascending."""
+    key = d.key.view(np.int64)
+    order = np.lexsort((key, d.text))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(d.count))), pa.int32()), pa.array(key[order]))
+
+
 def _pick(d: Digests, which: np.ndarray) -> Digests:
     """Digests of some of the texts (in any order, with repeats)."""
     first = np.concatenate(([0], np.cumsum(d.count)))

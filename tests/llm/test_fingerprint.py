@@ -48,7 +48,10 @@ def test_differences_are_exact():
         return fingerprint.Digests(text, key, np.array([len(s) for s in sets]))
 
     a, b, took = fingerprint.difference(pack(own), pack(other))
-    assert a.tolist() == [len(x - y) for x, y in zip(own, other)] and b.tolist() == [len(y - x) for x, y in zip(own, other)]
+    mixed = lambda s: sorted(fingerprint.mix(np.array(sorted(s), np.uint64), 1).tolist())
+    for i, (x, y) in enumerate(zip(own, other)):
+        assert sorted(a.key[a.text == i].tolist()) == mixed(x - y) and sorted(b.key[b.text == i].tolist()) == mixed(y - x)
+    assert a.count.tolist() == [len(x - y) for x, y in zip(own, other)] and b.count.tolist() == [len(y - x) for x, y in zip(own, other)]
     assert took[0] == fingerprint.CELLS and took[-1] > fingerprint.CELLS
     want = [len(x & y) / len(x | y) if x | y else 1.0 for x, y in zip(own, other)]
     assert np.allclose(fingerprint.likeness(pack(own), pack(other)), want)
@@ -59,3 +62,17 @@ def test_recursive_patterns_differ(spark):
     texts = [sep.join("ab"[b ^ x] for b in bits) for sep in ("", " ") for x in (0, 1)]
     got = fingerprint.versions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert len({r.fingerprint for r in got.collect()}) == 4
+
+
+def test_changes_are_the_digests_of_one_side(spark, odd):
+    def known(text):
+        d = fingerprint.digests(*fingerprint.flat(fingerprint.pa.array([text or ""])))
+        return set(d.key.view(np.int64).tolist())
+
+    long = "\n".join(f"paragraph number {i}" for i in range(500))
+    texts = [r.text for r in odd.collect()] + [long, long.replace("number 77", "no 77"), long + "\none more", ""]
+    pairs = [(i, a, b) for i, (a, b) in enumerate(zip(texts, [*texts[1:], None]))] + [(None, "x", "y"), (0, "x", "x"), (0, "x", "x")]
+    df = spark.createDataFrame(pairs, "doc_id long, old string, new string").selectExpr("*", "'x' as dropped", "'x' as text")
+    got = sorted(((r.doc_id, r.dropped, r.added) for r in fingerprint.changes(df).collect()), key=repr)
+    assert got == sorted(((i, sorted(known(a) - known(b)), sorted(known(b) - known(a))) for i, a, b in pairs), key=repr)
+    assert fingerprint.changes(df.limit(0)).count() == 0
