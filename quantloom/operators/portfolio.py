@@ -119,6 +119,22 @@ class FactorRisk:
     def factor_contributions(self, w: DataFrame) -> DataFrame:
         return self._spread(w).select("factor_id", (F.col("x") * F.col("fx")).alias("component"))
 
+    def breakdown(self, w: DataFrame) -> DataFrame:
+        """The row of ``variance`` with specific_fraction (0 where total is 0) and factor_contrib, a map of the factors'
+        contributions, whose sum is factor_variance."""
+        v = self.variance(w).withColumn("specific_fraction", F.coalesce(ratio(F.col("specific_variance"), F.col("total_variance")), F.lit(0.0)))
+        parts = self.factor_contributions(w).agg(F.map_from_entries(F.collect_list(F.struct("factor_id", "component"))).alias("factor_contrib"))  # one entry for each factor
+        return v.crossJoin(parts)  # one row each
+
+    def cov(self) -> DataFrame:
+        """(i, j, cov) for i <= j: the dense covariance of all assets.  Pairs are the output itself, its size ids
+        squared; for reports, nothing else here needs it."""
+        b = self.loadings.select("id", "factor_id", "loading")
+        bf = b.join(self.factor_cov, b["factor_id"] == F.col("factor_i")).groupBy(F.col("id").alias("i"), F.col("factor_j").alias("factor_id")).agg(F.sum(F.col("loading") * F.col("cov")).alias("bf"))
+        pairs = bf.join(b.select(F.col("id").alias("j"), "factor_id", "loading"), "factor_id").where("i <= j").select("i", "j", (F.col("bf") * F.col("loading")).alias("c"))
+        own = self.specific.select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("specific_var").alias("c"))
+        return pairs.unionByName(own).groupBy("i", "j").agg(F.sum("c").alias("cov"))
+
     def factored(self, ids: list[int]) -> Factored:
         """Arrays for the optimiser, in the order of ``ids``."""
         rows = self.loadings.collect()

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import cProfile
 import contextlib
 import json
 import math
 import os
 import platform
+import pstats
 import resource
+import shutil
 import statistics
 import subprocess
 import time
+import tracemalloc
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
+from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,19 +68,114 @@ def run_trials(stage: str, fn: Callable[[], object], n_trials: int = 5, warmup:
     return TrialResult(stage, [call() for _ in range(n_trials)], rss_mb())
 
 
-def capture_environment(spark: SparkSession, run_id: str) -> dict[str, object]:
-    def git(*args: str) -> str:
-        try:
-            return subprocess.run(["git", *args], capture_output=True, text=True, timeout=10).stdout.strip()
-        except OSError:
-            return ""
+def _git(*args: str) -> str:
+    try:
+        return subprocess.run(["git", *args], capture_output=True, text=True, timeout=10).stdout.strip()
+    except OSError:
+        return ""
 
+
+def capture_environment(spark: SparkSession, run_id: str) -> dict[str, object]:
     return {
-        "run_id": run_id, "git_sha": git("rev-parse", "HEAD"), "git_dirty": bool(git("status", "--porcelain")), "hostname": platform.node(), "cpu_model": platform.processor(),
+        "run_id": run_id, "git_sha": _git("rev-parse", "HEAD"), "git_dirty": bool(_git("status", "--porcelain")), "hostname": platform.node(), "cpu_model": platform.processor(),
         "n_cores": os.cpu_count(), "python_version": platform.python_version(), "spark_version": spark.version, "master": spark.sparkContext.master,
     }
 
 
+# --- profiles --------------------------------------------------------------------------------------
+
+ARTIFACTS = "run_id string, param_point_id int, stage string, profiler string, kind string, fmt string, path string, size_bytes long, on_regression boolean, git_sha string"
+
+
+@dataclass(frozen=True)
+class ProfileArtifact:
+    """A file of a profile, by its path below the folder of all profiles."""
+
+    run_id: str
+    param_point_id: int
+    stage: str
+    profiler: str
+    kind: str
+    fmt: str
+    path: str
+    size_bytes: int
+    on_regression: bool = False
+    git_sha: str = ""
+
+
+def _capture(stage: str, fn: Callable[[], object], folder: str, run_id: str, param_point_id: int, git_sha: str, on_regression: bool, cpu: bool, memory: bool) -> tuple[object, list[ProfileArtifact]]:
+    at = Path(folder) / run_id
+    at.mkdir(parents=True, exist_ok=True)
+    name, profile, out = f"{stage}.{param_point_id}", cProfile.Profile(), []
+    was_tracing = tracemalloc.is_tracing()
+    if memory:
+        tracemalloc.start() if not was_tracing else tracemalloc.clear_traces()
+    try:
+        with profile if cpu else contextlib.nullcontext():
+            result = fn()
+            if isinstance(result, DataFrame):
+                result.write.format("noop").mode("overwrite").save()
+        held = tracemalloc.take_snapshot() if memory else None
+    finally:
+        if memory and not was_tracing:
+            tracemalloc.stop()
+
+    def kept(profiler: str, kind: str, fmt: str, file: str) -> None:
+        path = at / file
+        out.append(ProfileArtifact(run_id, param_point_id, stage, profiler, kind, fmt, str(path.relative_to(folder)), path.stat().st_size, on_regression, git_sha))
+
+    if cpu:
+        profile.dump_stats(at / f"{name}.cpu.pstats")
+        with open(at / f"{name}.cpu.txt", "w") as f:
+            pstats.Stats(profile, stream=f).sort_stats("cumulative").print_stats(50)
+        kept("cprofile", "cpu", "pstats", f"{name}.cpu.pstats")
+        kept("cprofile", "cpu", "calltree", f"{name}.cpu.txt")
+    if memory:
+        held.dump(str(at / f"{name}.memory.bin"))
+        (at / f"{name}.memory.txt").write_text("\n".join(str(x) for x in held.statistics("lineno")[:50]) + "\n")
+        kept("tracemalloc", "memory", "snapshot", f"{name}.memory.bin")
+        kept("tracemalloc", "memory", "summary", f"{name}.memory.txt")
+    return result, out
+
+
+def capture_cpu(stage: str, fn: Callable[[], object], folder: str, run_id: str, param_point_id: int = 0, git_sha: str = "", on_regression: bool = False) -> tuple[object, list[ProfileArtifact]]:
+    """The result of a call, and the files of its profile on the driver: raw counts and a call tree.  A DataFrame is run
+    to a sink that keeps nothing; what executors do is in Spark's own interface."""
+    return _capture(stage, fn, folder, run_id, param_point_id, git_sha, on_regression, True, False)
+
+
+def capture_memory(stage: str, fn: Callable[[], object], folder: str, run_id: str, param_point_id: int = 0, git_sha: str = "", on_regression: bool = False) -> tuple[object, list[ProfileArtifact]]:
+    """Like ``capture_cpu`` for allocations: a snapshot and its largest lines."""
+    return _capture(stage, fn, folder, run_id, param_point_id, git_sha, on_regression, False, True)
+
+
+def capture_both(stage: str, fn: Callable[[], object], folder: str, run_id: str, param_point_id: int = 0, git_sha: str = "", on_regression: bool = False) -> tuple[object, list[ProfileArtifact]]:
+    """Both profiles of one call; each slows the other a little."""
+    return _capture(stage, fn, folder, run_id, param_point_id, git_sha, on_regression, True, True)
+
+
+def write_artifacts(spark: SparkSession, folder: str, artifacts: list[ProfileArtifact], run_ts: int | None = None) -> None:
+    """Append to the index of all profiles; nothing to do for none."""
+    if artifacts:
+        ts = time.time_ns() if run_ts is None else run_ts
+        append(spark.createDataFrame([(*astuple(a), ts) for a in artifacts], ARTIFACTS + ", run_ts long"), f"{folder}/profile_artifacts.parquet")
+
+
+def read_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    return read_or_empty(spark, f"{folder}/profile_artifacts.parquet", ARTIFACTS + ", run_ts long")
+
+
+def prune_profiles(spark: SparkSession, folder: str, keep_last: int) -> list[str]:
+    """Delete the files of runs other than the last ones and those with a regression; the runs that went.  Their rows
+    stay in the index."""
+    index = read_artifacts(spark, folder)
+    gone = index.join(prune_runs(index, keep_last).select("run_id").distinct(), "run_id", "left_anti").select("run_id").distinct()
+    out = [r.run_id for r in gone.orderBy("run_id").collect() if (Path(folder) / r.run_id).is_dir()]  # one row for each run
+    for run in out:
+        shutil.rmtree(Path(folder) / run)
+    return out
+
+
 # --- scaling ---------------------------------------------------------------------------------------
 
 def fit_scaling(measurements: DataFrame, metrics: tuple[str, ...] = METRICS, dims: tuple[str, ...] = DIMS, min_points: int = 3) -> DataFrame:
@@ -156,6 +257,58 @@ def snapshots(measurements: DataFrame, history: DataFrame | None = None) -> Data
     return rows.withColumns({"delta_prev_pct": pct(F.lag("p50").over(w)), "delta_first_pct": pct(F.first("p50").over(w))})
 
 
+RUNS = "run_id string, run_ts timestamp, git_sha string, branch string, commit_message string, agent_id string, target_component string, goal string, strategy string, e2e_p50_s double, e2e_vs_prev_pct double, regression_passed boolean, n_violations int, parent_run_id string"
+SNAPSHOTS = "run_id string, component string, p50 double, delta_prev_pct double, delta_first_pct double"
+ANNOTATIONS = "run_id string, hypothesis string, outcome string, lessons string, next_target string, confidence double, improvement_type string"
+
+
+@dataclass(frozen=True)
+class RunContext:
+    """Who made a run, and what for."""
+
+    agent_id: str = ""
+    target_component: str = ""
+    goal: str = ""
+    strategy: str = ""
+    parent_run_id: str | None = None
+
+
+@dataclass(frozen=True)
+class Annotation:
+    hypothesis: str
+    outcome: str
+    lessons: str = ""
+    next_target: str = ""
+    confidence: float | None = None
+    improvement_type: str = ""
+
+
+def write_history_run(spark: SparkSession, folder: str, run_id: str, run_ts: datetime, measurements: DataFrame, context: RunContext = RunContext(), violations: DataFrame | None = None, note: Annotation | None = None) -> None:
+    """Append a run to the history: a row of its own, its snapshots against the runs before, and a note if there is one.
+    Without ``violations`` the run counts as passed."""
+    before = read_component_snapshots(spark, folder)
+    mine = snapshots(measurements.where(F.col("run_id") == run_id), before).where(F.col("run_id") == run_id).collect()  # one row for each component
+    whole = next(r for r in mine if r.component == "e2e")
+    bad = 0 if violations is None else violations.count()
+    row = (run_id, run_ts, _git("rev-parse", "--short", "HEAD"), _git("rev-parse", "--abbrev-ref", "HEAD"), _git("log", "-1", "--format=%s"), context.agent_id, context.target_component, context.goal, context.strategy, whole.p50, whole.delta_prev_pct, bad == 0, bad, context.parent_run_id)
+    append(spark.createDataFrame([row], RUNS), f"{folder}/improvement_runs.parquet")
+    append(spark.createDataFrame([(r.run_id, r.component, r.p50, r.delta_prev_pct, r.delta_first_pct) for r in mine], SNAPSHOTS), f"{folder}/component_snapshots.parquet")
+    if note is not None:
+        append(spark.createDataFrame([(run_id, *astuple(note))], ANNOTATIONS), f"{folder}/agent_annotations.parquet")
+
+
+def read_improvement_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return read_or_empty(spark, f"{folder}/improvement_runs.parquet", RUNS)
+
+
+def read_component_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return read_or_empty(spark, f"{folder}/component_snapshots.parquet", SNAPSHOTS)
+
+
+def read_agent_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    return read_or_empty(spark, f"{folder}/agent_annotations.parquet", ANNOTATIONS)
+
+
 def prune_runs(index: DataFrame, keep_last: int) -> DataFrame:
     """Rows of the last runs by timestamp, and of all runs with a regression."""
     last = index.groupBy("run_id").agg(F.max("run_ts").alias("_t")).orderBy(F.desc("_t"), "run_id").limit(keep_last).select("run_id")

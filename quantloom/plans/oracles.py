@@ -212,6 +212,8 @@ ORACLE: dict[str, str] = {
     "softmax_holdings": sql("SELECT date, id, round(e / sum(e) OVER (PARTITION BY date), 8) AS weight FROM (SELECT date, id, exp(value / 1e5 - max(value / 1e5) OVER (PARTITION BY date)) AS e FROM supplier_month)", "supplier_month"),
     "factor_exposure": sql("SELECT date, CAST(factor_id AS BIGINT) AS factor_id, round(sum(weight * loading), 8) + 0.0 AS exposure FROM weights JOIN load_ USING (date, id) GROUP BY 1, 2", "weights", load_=_LOAD),
     "factor_variance": sql("SELECT round(fv, 7) AS factor_variance, round(sv, 7) AS specific_variance, round(fv + sv, 7) AS total_variance, round(fv / (fv + sv), 7) AS factor_fraction FROM (SELECT x0 * f0 + x1 * f1 AS fv, (SELECT sum(weight * weight * d) FROM w) AS sv FROM fx)", **_RISK),
+    "risk_breakdown": sql("SELECT round(fv + sv, 7) AS total_variance, round(fv, 7) AS factor_variance, round(sv, 7) AS specific_variance, round(fv / (fv + sv), 7) AS factor_fraction, round(sv / (fv + sv), 7) AS specific_fraction, round(x0 * f0, 7) + 0.0 AS factor_0, round(x1 * f1, 7) + 0.0 AS factor_1 FROM (SELECT *, x0 * f0 + x1 * f1 AS fv, (SELECT sum(weight * weight * d) FROM w) AS sv FROM fx)", **_RISK),
+    "factor_covariance": "SELECT a.id AS i, b.id AS j, round(0.04 + 0.01 * (a.x + b.x) + 0.09 * a.x * b.x + CASE WHEN a.id = b.id THEN (a.id % 5 + 1) / 50.0::DOUBLE ELSE 0 END, 8) AS cov FROM (SELECT CAST(n_nationkey AS BIGINT) AS id, n_regionkey / 10.0::DOUBLE AS x FROM nation) a JOIN (SELECT CAST(n_nationkey AS BIGINT) AS id, n_regionkey / 10.0::DOUBLE AS x FROM nation) b ON a.id <= b.id",
     "risk_contributions": sql("SELECT id, round(m, 7) + 0.0 AS marginal, round(weight * m, 7) + 0.0 AS component FROM (SELECT id, weight, f0 + x * f1 + weight * d AS m FROM w, fx)", **_RISK),
     "rolling_portfolio_vol": sql("SELECT date, round(stddev_samp(r), 6) AS vol FROM past GROUP BY 1", "nation_panel", **_STATIC),
     "rolling_var": sql("SELECT date, round(-quantile_cont(r, 0.05), 6) + 0.0 AS \"var\" FROM past GROUP BY 1", "nation_panel", **_STATIC),

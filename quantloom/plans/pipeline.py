@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -17,7 +19,8 @@ from ..operators import portfolio as pf
 from ..operators import signals as sg
 from ..operators import telemetry as tm
 from ..sources.generators import GenSpec, write_all
-from ..sources.loader import DatasetLoader
+from ..sources.loader import DatasetLoader, batch, stream
+from ..streaming.events import drain
 
 
 @dataclass(frozen=True)
@@ -108,6 +111,87 @@ def run_production_pipeline(spark: SparkSession, folder: str, strategy: Strategy
     )
 
 
+def run_from_spec(spark: SparkSession, folder: str, text: str) -> PipelineSummary:
+    """The whole chain from a strategy kept as JSON."""
+    return run_production_pipeline(spark, folder, StrategySpec.from_json(text))
+
+
+def build_components(spark: SparkSession, folder: str) -> dict[str, Callable[[dict[str, int]], Callable[[], object]]]:
+    """The seven components for ``run_harness``: from the sizes of a point, whose tables are generated once below the
+    folder, each makes the call to time.  Calls return plans, or run their own jobs."""
+    written: set[GenSpec] = set()
+
+    def tables(params: dict[str, int]) -> Callable[[str], DataFrame]:
+        spec = GenSpec(**{d: params[d] for d in tm.DIMS if d in params})
+        at = f"{folder}/" + "-".join(str(getattr(spec, d)) for d in tm.DIMS)
+        if spec not in written:
+            write_all(spark, at, spec, (*INPUTS, "stage_baselines", "regression_thresholds"))
+            written.add(spec)
+        return DatasetLoader(spark, at).load
+
+    def momentum(load) -> DataFrame:
+        return load("alpha_signals").where("signal_name = 'momentum'").select("date", "id", "signal")
+
+    def etl(params):
+        load = tables(params)
+        return lambda: cl.returns_from_prices(load("prices"))
+
+    def signals(params):
+        load = tables(params)
+        return lambda: sg.ic_series(sg.neutralize_groups(momentum(load), load("security_master")), load("forward_returns"), return_col="fwd_ret_1")
+
+    def models(params):
+        load = tables(params)
+        panel = mo.build_panel(load("feature_panel"), load("forward_returns"), "fwd_ret_1", load("sample_weights"))
+        return lambda: mo.walk_forward_ridge(panel, mo.WalkForwardSplitter(2, 5, 20), mo.WalkForwardConfig((0.1, 1.0, 10.0))).mean_ic
+
+    def analysis(params):
+        load = tables(params)
+        return lambda: an.analyze(load("prices").groupBy("date").agg(F.avg("close").alias("nav")))
+
+    def portfolio(params):
+        load = tables(params)
+        last = str(load("factor_loadings").agg(F.max("date")).first()[0])
+        risk = pf.FactorRisk.at(load("factor_loadings"), load("factor_covariance"), load("specific_risk"), last)
+        weights = pf.softmax_weights(momentum(load).where(F.col("date") == F.lit(last).cast("date"))).select("id", "weight")
+        return lambda: risk.breakdown(weights)
+
+    def backtest(params):
+        load = tables(params)
+        cfg = bt.BacktestConfig(transaction_costs=True, universe_mask=True)
+        return lambda: bt.run_backtest(cl.returns_from_prices(load("prices")), momentum(load), cfg, load("prices").select("date", "id", "close", "adv_20"), load("transaction_costs"), load("universe_mask")).nav_history
+
+    def profiling(params):
+        load = tables(params)
+        now = load("stage_measurements").groupBy("stage").agg(*(F.median(c).alias(c) for c in ("elapsed_s", "result_mb", "peak_rss_mb")))
+        return lambda: tm.check_regressions(now, load("stage_baselines"), load("regression_thresholds"), tm.fit_scaling(load("stage_measurements")), 0.0)
+
+    return {f.__name__: f for f in (etl, signals, models, analysis, portfolio, backtest, profiling)}
+
+
+def run_experiment(spark: SparkSession, params: dict[str, int], folder: str, window: int = 63) -> list[tm.TrialResult]:
+    """Nine stages, timed once each on generated prices: batch and stream load, backtest, analysis, holdings, exposures,
+    rolling volatility, information coefficient and cross-validation."""
+    spec = GenSpec(**{d: params[d] for d in tm.DIMS if d in params})
+    write_all(spark, folder, spec, ("prices", "feature_panel", "forward_returns"))
+    path = f"{folder}/prices.parquet"
+    prices = batch(spark, path)
+    returns = cl.returns_from_prices(prices)
+    signal = bt.random_signals(prices.select("date", "id"), seed=1)
+    load = DatasetLoader(spark, folder).load
+    nav = lambda: bt.run_backtest(returns, signal).nav_history
+    weights = pf.softmax_weights(signal)
+    panel = mo.build_panel(load("feature_panel"), load("forward_returns"), "fwd_ret_1")
+    stages = {
+        "etl.batch": lambda: returns, "etl.stream": lambda: drain(stream(spark, path, prices.schema.simpleString()[7:-1].replace(":", " ")), f"{folder}/stream-{uuid.uuid4().hex}", "append"),
+        "backtest": nav, "analysis": lambda: an.analyze(nav()), "portfolio.holdings": lambda: weights,
+        "portfolio.exposures": lambda: pf.compute_exposures(weights, pf.random_loadings(spark, spec.n_assets, spec.n_factors, 2)),
+        "portfolio.rolling_vol": lambda: pf.rolling_portfolio_vol(weights, returns, window), "signals.ic": lambda: sg.ic_next_period(signal, returns),
+        "models.cv": lambda: mo.cv_loop(panel, mo.feature_names(load("feature_panel"))),
+    }
+    return [tm.run_trials(name, call, 1, 0) for name, call in stages.items()]
+
+
 def summary_frame(spark: SparkSession, summary: PipelineSummary) -> DataFrame:
     """(field, value) rows."""
     flat = {k: v for k, v in asdict(summary).items() if not isinstance(v, dict)} | {f"horizon_ic.{k}": v for k, v in summary.horizon_ic.items()}

@@ -536,6 +536,24 @@ def risk_contributions(t: Tables) -> DataFrame:
     return rounded(risk.contributions(w), 7)
 
 
+@query
+def risk_breakdown(t: Tables) -> DataFrame:
+    risk, w = _risk(t)
+    out = risk.breakdown(w)
+    parts = [F.col("factor_contrib")[F.lit(k)].alias(f"factor_{k}") for k in range(2)]
+    return rounded(out.select("total_variance", "factor_variance", "specific_variance", "factor_fraction", "specific_fraction", *parts), 7)
+
+
+@query
+def factor_covariance(t: Tables) -> DataFrame:
+    """The dense covariance of the nations, a short axis."""
+    n = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") / 10).alias("x"))
+    load = n.select("id", F.inline(F.array(F.struct(F.lit(0).alias("factor_id"), F.lit(1.0).alias("loading")), F.struct(F.lit(1).alias("factor_id"), F.col("x").alias("loading")))))
+    cov = _risk(t)[0].factor_cov
+    spec = n.select("id", ((F.col("id") % 5 + 1) / 50.0).alias("specific_var"))
+    return rounded(pf.FactorRisk(load, cov, spec).cov())
+
+
 def _static(t: Tables) -> tuple[DataFrame, DataFrame]:
     p = t.nation_panel()
     return p.select("date", "id", (F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("date"))).alias("weight")), ret(p)

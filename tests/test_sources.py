@@ -1,10 +1,12 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import analysis as an
 from quantloom.operators import cleaning as cl
 from quantloom.operators import telemetry as tm
-from quantloom.plans.pipeline import INPUTS, StrategySpec, run_production_pipeline, summary_frame
+from quantloom.plans.pipeline import INPUTS, StrategySpec, build_components, run_experiment, run_from_spec, run_production_pipeline, summary_frame
 from quantloom.sources import generators as g
 from quantloom.sources.loader import DatasetLoader
 from quantloom.sources.schema import REGISTRY, SchemaError, schema_for
@@ -69,6 +71,8 @@ def test_pipeline(spark, tmp_path):
     assert s.ic_raw is not None and -1 <= s.ic_raw <= 1 and s.wf_mean_ic > 0 and s.opt_gross <= 2.0 + 1e-4
     assert s.cost_drag > 0 and s.n_scaling_fits > 0 and s.n_trades > 0
     assert summary_frame(spark, s).count() == 16 and "prices" in INPUTS
+    again = dict(summary_frame(spark, run_from_spec(spark, str(tmp_path / "again"), spec.to_json())).collect())
+    assert again == pytest.approx(dict(summary_frame(spark, s).collect()), rel=1e-6)  # sums depend on their order
     with pytest.raises(ValueError):
         StrategySpec(max_weight=2.0)
 
@@ -86,6 +90,47 @@ def test_telemetry(spark, tmp_path):
     assert h.count() > 0 and tm.diff_manifests(h, h).count() == 0
 
 
+def test_components_and_experiment(spark, tmp_path):
+    sizes = {"n_assets": 12, "n_dates": 70, "n_features": 4, "n_factors": 3}
+    parts = build_components(spark, str(tmp_path / "points"))
+    rows = tm.run_harness(spark, [sizes], parts, str(tmp_path / "runs"), "r1", 1, 0)
+    assert {r.stage for r in rows.collect()} == {"etl", "signals", "models", "analysis", "portfolio", "backtest", "profiling"}
+    done = run_experiment(spark, sizes, str(tmp_path / "experiment"), 20)
+    assert len(done) == 9 and all(len(r.elapsed) == 1 and r.elapsed[0] > 0 for r in done)
+
+
+def test_history(spark, tmp_path):
+    folder = str(tmp_path)
+    assert tm.read_improvement_runs(spark, folder).count() == tm.read_agent_annotations(spark, folder).count() == 0
+    schema = "run_id string, stage string, elapsed_s double"
+    for day, (run, a) in enumerate((("r1", 1.0), ("r2", 3.0)), 1):
+        rows = spark.createDataFrame([(run, "a", a), (run, "a", a), (run, "b", 1.0), ("other", "a", 9.0)], schema)
+        note = tm.Annotation("faster joins", "slower", confidence=0.5) if day == 2 else None
+        bad = spark.range(day - 1)
+        tm.write_history_run(spark, folder, run, datetime(2020, 1, day), rows, tm.RunContext("me", "a"), bad, note)
+    runs = {r.run_id: r for r in tm.read_improvement_runs(spark, folder).collect()}
+    assert (runs["r1"].e2e_p50_s, runs["r1"].e2e_vs_prev_pct, runs["r1"].regression_passed) == (2.0, None, True)
+    assert (runs["r2"].e2e_p50_s, runs["r2"].e2e_vs_prev_pct, runs["r2"].n_violations) == (4.0, 100.0, 1)
+    snaps = {(r.run_id, r.component): r.delta_prev_pct for r in tm.read_component_snapshots(spark, folder).collect()}
+    assert len(snaps) == 6 and snaps["r2", "a"] == pytest.approx(200.0) and snaps["r2", "b"] == 0.0
+    assert [(r.run_id, r.confidence) for r in tm.read_agent_annotations(spark, folder).collect()] == [("r2", 0.5)]
+
+
+def test_profiles(spark, tmp_path):
+    folder = str(tmp_path)
+    assert tm.read_artifacts(spark, folder).count() == 0
+    for i, (run, capture) in enumerate((("r1", tm.capture_cpu), ("r2", tm.capture_memory), ("r3", tm.capture_both), ("r4", tm.capture_cpu))):
+        got, files = capture("sum", lambda: sum(range(1000)), folder, run, on_regression=run == "r2")
+        assert got == 499500 and len(files) == (4 if run == "r3" else 2)
+        assert all((tmp_path / f.path).stat().st_size == f.size_bytes > 0 for f in files)
+        tm.write_artifacts(spark, folder, files, i)
+    tm.write_artifacts(spark, folder, [])
+    assert tm.read_artifacts(spark, folder).count() == 10
+    assert tm.prune_profiles(spark, folder, 1) == ["r1", "r3"] and (tmp_path / "r2").is_dir() and (tmp_path / "r4").is_dir()
+    frame, _ = tm.capture_cpu("plan", lambda: spark.range(10), folder, "r5")
+    assert frame.count() == 10
+
+
 def test_drawdown_events_take_the_earliest_trough(spark):
     nav = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 1, 1.5, 1, 2, 3, 2.5])], "date int, nav double")
     e = an.drawdown_events(nav).orderBy("peak_date").collect()
