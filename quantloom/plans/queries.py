@@ -491,7 +491,9 @@ def brinson(t: Tables) -> DataFrame:
 
 @query
 def factor_attribution(t: Tables) -> DataFrame:
-    regions = t.nation_panel().select("date", F.col("id").alias("factor_id"), (F.col("return") / 100).alias("return"))
+    """Factors are the mean returns of the regions, over all their nations; only dates with every factor count."""
+    own = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("factor_id"))
+    regions = t.nation_panel().join(own, "id").groupBy("date", "factor_id").agg((F.avg("return") / 100).alias("return"))
     return rounded(an.factor_attribution(t.series(), regions), 6)
 
 
